@@ -1,18 +1,32 @@
-"""Queries of the corpus operators."""
+"""Queries of the corpus operators, over their whole tables."""
 
 from __future__ import annotations
 
-from wayfold.llm import simhash
+from wayfold.llm import quality, simhash, toxicity
 from wayfold.session import table
 
 
+def op1_quality_fm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_simhash_anchors(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity_ordinal(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = (op1_quality_fm, op5_simhash_anchors, op9_toxicity_ordinal)
+
+
 def queries() -> dict:
-    return {"op5_simhash_anchors": op5_simhash_anchors}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
+    """None: hashed features, fingerprints, tokenizers, templates and page trees have no SQL form."""
     return {}

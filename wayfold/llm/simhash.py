@@ -18,7 +18,6 @@ tables give empty results. Other columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,31 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.arrowtools import map_rows
+from wayfold.llm.texts import LOWER, utf8, word_blocks
 from wayfold.session import Scratch, prepare
 
-LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-LONG_TEXT = 1 << 20
-BLOCK = 1 << 16
 DISTANCE = 3
 HOT_HOMES = 4096
 RUN = 32
 
 
-def _word_blocks(data: bytes) -> Iterator[list[bytes]]:
-    """Words in blocks of bounded size, so that a huge text never becomes one huge list."""
-    if len(data) <= LONG_TEXT:
-        yield data.split()
-        return
-    block = []
-    for m in WORD.finditer(data):
-        block.append(m[0])
-        if len(block) == BLOCK:
-            yield block
-            block = []
-    yield block
-
-
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     out = np.zeros(64, np.int64)
@@ -63,10 +45,10 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int = 3) -> int:
     """SimHash of a whole text as an unsigned 64-bit integer; zero without words."""
-    data = (text or "").encode("utf-8", "surrogatepass").translate(LOWER)
+    data = utf8(text).translate(LOWER)
     digest = xxhash.xxh64_intdigest
     counts, n, tail = np.zeros(64, np.int64), 0, []
-    for words in _word_blocks(data):
+    for words in word_blocks(data):
         words = tail + words
         if len(words) >= width:
             hashes = np.array([digest(s, 42) for s in map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))], np.uint64)
