@@ -21,7 +21,6 @@ from bisect import bisect_left, insort
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -150,7 +149,7 @@ def _steps(used: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pack_group(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _pack_group(key, rows):
     rows = rows.sort_values(["doc_id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
     lengths = rows["length"].tolist()
     ids = rows["ids"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayfold.llm import quality, simhash, toxicity
+from wayfold.llm import decontaminate, packing, quality, simhash, toxicity
 from wayfold.session import table
 
 
@@ -15,12 +15,20 @@ def op5_simhash_anchors(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate_prefix(spark, sf_dir):
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_packing_tiers(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity_ordinal(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = (op1_quality_fm, op5_simhash_anchors, op9_toxicity_ordinal)
+QUERIES = (op1_quality_fm, op5_simhash_anchors, op6_decontaminate_prefix, op7_packing_tiers, op9_toxicity_ordinal)
 
 
 def queries() -> dict:

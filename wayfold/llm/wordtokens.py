@@ -2,16 +2,45 @@
 
 The vocabulary file's normaliser turns white space into one space and its pre-tokeniser drops it,
 so the ids of a text are the ids of its words in a row. Words repeat; their ids are cached.
+Two rewritings that leave the ids as they are make more words equal: ASCII capitals are lowered
+(unless combining marks follow somewhere, as these compose before lowering), and the marks after a
+word's last letter or digit are set apart, as the pre-tokeniser does. Texts that may hold the
+vocabulary's control strings are left as they are.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 
-from wayfold.llm.texts import utf8, word_blocks
+from wayfold.llm.texts import LOWER, utf8, word_blocks
 
-CACHED_WORDS, CACHED_LENGTH = 200_000, 64
+CACHED_WORDS, CACHED_LENGTH = 600_000, 64
+MARKS = rb"[!-&(-/:-@\[-`{-~]+(?=[\x20\x09-\x0D]|\Z)"
+APART = re.compile(rb"(?<=[a-z0-9])" + MARKS + rb"|(?<=\xc3[\x9f-\xb6\xb8-\xbf])" + MARKS)
+#: Words of these letters alone are one pre-token each and the normaliser leaves them as they are.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
+def _byte_level() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable Latin-1 ones for themselves, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_LEVEL = _byte_level()
+
+
+def prepared(text: str | None) -> bytes:
+    """UTF-8 of a text with the same ids, its words as equal as can be."""
+    data = utf8(text)
+    if b"<|" in data:
+        return data
+    if b"\xcc" not in data and b"\xcd" not in data:
+        data = data.translate(LOWER)
+    return APART.sub(rb" \g<0>", data)
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -42,14 +71,21 @@ class WordTokens:
         if len(cache) + len(new) > CACHED_WORDS:
             cache.clear()
             new = list(set(words))
-        made = self.encode([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)
-        fresh = {w: struct.pack(f"<{len(e.ids)}I", *e.ids) for w, e in zip(new, made, strict=True)}
+        fresh, odd, tokenize = {}, [], self.tokenizer.model.tokenize
+        for w in new:
+            if len(w) <= CACHED_LENGTH and PLAIN.fullmatch(w):
+                ids = [t.id for t in tokenize(w.decode("latin-1").translate(BYTE_LEVEL))]
+                fresh[w] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                odd.append(w)
+        for w, e in zip(odd, self.encode([w.decode("utf-8", "surrogatepass") for w in odd], add_special_tokens=False), strict=True):
+            fresh[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
         out = [fresh[w] if w in fresh else cache[w] for w in words]
         cache.update((w, x) for w, x in fresh.items() if len(w) <= CACHED_LENGTH)
         return out
 
     def ids(self, text: str | None) -> bytes:
-        return b"".join(b"".join(self.of_words(words)) for words in word_blocks(utf8(text)))
+        return b"".join(b"".join(self.of_words(words)) for words in word_blocks(prepared(text)))
 
     def count(self, text: str | None) -> int:
-        return sum(sum(map(len, self.of_words(words))) for words in word_blocks(utf8(text))) // 4
+        return sum(sum(map(len, self.of_words(words))) for words in word_blocks(prepared(text))) // 4
