@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from wayfold.llm import decontaminate, packing, quality, simhash, toxicity
+from pyspark.sql import functions as F
+
+from wayfold.llm import chat, decontaminate, html_main, packing, quality, simhash, topk, toxicity
 from wayfold.session import table
 
 
@@ -11,6 +13,10 @@ def op1_quality_fm(spark, sf_dir):
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_html_tree(spark, sf_dir):
+    return html_main.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash_anchors(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -23,12 +29,20 @@ def op7_packing_tiers(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_chat_template(spark, sf_dir):
+    return chat.digests(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
 def op9_toxicity_ordinal(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = (op1_quality_fm, op5_simhash_anchors, op6_decontaminate_prefix, op7_packing_tiers, op9_toxicity_ordinal)
+def op10_topk_blocks(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = (op1_quality_fm, op4_html_tree, op5_simhash_anchors, op6_decontaminate_prefix, op7_packing_tiers, op8_chat_template, op9_toxicity_ordinal, op10_topk_blocks)
 
 
 def queries() -> dict:
