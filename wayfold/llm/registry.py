@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat, decontaminate, html_main, packing, quality, simhash, topk, toxicity
+from wayfold.llm import chat, decontaminate, edits, html_main, packing, quality, reshard, simhash, topk, toxicity
 from wayfold.session import table
 
 
@@ -13,6 +13,14 @@ def op1_quality_fm(spark, sf_dir):
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_reshard_flow(spark, sf_dir):
+    return reshard.reshard(table(spark, sf_dir, "documents"), reshard.by_source(20), 20, 16)
+
+
+def op3_token_edits(spark, sf_dir):
+    return edits.recount(table(spark, sf_dir, "documents"), edits.sample_edits())
+
+
 def op4_html_tree(spark, sf_dir):
     return html_main.main_text(table(spark, sf_dir, "pages"))
 
@@ -42,7 +50,7 @@ def op10_topk_blocks(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = (op1_quality_fm, op4_html_tree, op5_simhash_anchors, op6_decontaminate_prefix, op7_packing_tiers, op8_chat_template, op9_toxicity_ordinal, op10_topk_blocks)
+QUERIES = (op1_quality_fm, op2_reshard_flow, op3_token_edits, op4_html_tree, op5_simhash_anchors, op6_decontaminate_prefix, op7_packing_tiers, op8_chat_template, op9_toxicity_ordinal, op10_topk_blocks)
 
 
 def queries() -> dict:
