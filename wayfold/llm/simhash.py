@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm.arrowtools import map_rows
@@ -280,3 +280,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of = distinct.join(labels, distinct.rep == labels.node, "left").select(F.col("fp").alias("of_fp"), F.coalesce("component", "rep").alias("component_id"))
     out = fps.join(of, fps.fp == of.of_fp, "left")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without all but one of each component, all columns as they are.
+
+    The row of the smallest doc_id stays; of repeated rows of one doc_id, the first by text stays. Rows
+    of a null doc_id stay.
+    """
+    scratch = Scratch(docs.sparkSession)
+    found = near_duplicates(docs).where("doc_id is not null")
+    found = scratch.keep(found.select(F.col("doc_id").alias("_id"), (F.col("doc_id") == F.col("component_id")).alias("_stays")))
+    gone = found.where("not _stays").select("_id").distinct()
+    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    repeated = found.where("_stays").groupBy("_id").count().where("count > 1").select("_id")
+    if not repeated.take(1):
+        return left
+    once = left.join(repeated, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    first = Window.partitionBy("doc_id").orderBy("text")
+    again = left.join(repeated, F.col("doc_id").cast("long") == F.col("_id"), "left_semi").withColumn("_first", F.row_number().over(first)).where("_first = 1").select(*docs.columns)
+    return once.unionByName(again)
