@@ -1,11 +1,262 @@
-"""The query catalogue of the network engine."""
+"""The query catalogue of the network engine, on the street grid over the data tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from wayfold.functions import geometry, styling
+from wayfold.operators import access, flow, network, routes
+from wayfold.plans import oracles
+from wayfold.session import table
+from wayfold.sources.grid import STEP, Grid
+
+RADIUS, BETA, ALPHA, DETOUR = 400.0, 0.003, 2.0, 1.15
+KNN, PLATEAU, TOLERANCE = [0.5, 0.25, 0.15, 0.1], 100.0, 20.0
+
+
+class World:
+    """Edges, features, distances and paths of one data folder, each built when first asked for."""
+
+    def __init__(self, spark, sf_dir):
+        self.grid = Grid(spark, sf_dir)
+        self.scratch, self._made = self.grid.scratch, {}
+
+    def _once(self, name, make):
+        if name not in self._made:
+            self._made[name] = make()
+        return self._made[name]
+
+    @property
+    def edges(self):
+        return self._once("edges", self.grid.edges)
+
+    @property
+    def origins(self):
+        return self._once("origins", lambda: self.scratch.keep(self.grid.origins(self.edges)))
+
+    @property
+    def destinations(self):
+        return self._once("destinations", lambda: self.scratch.keep(self.grid.destinations(self.edges)))
+
+    @property
+    def scope(self):
+        arcs = self.scratch.keep(network.arcs(self.edges))
+        seeds = network.entries(self.origins, "oid").select("oid", "node", "cost")
+        return self._once("scope", lambda: routes.relax(arcs, seeds, RADIUS, self.scratch))
+
+    @property
+    def pairs(self):
+        def make():
+            return self.scratch.keep(access.with_weights(routes.distances(self.scope, self.origins, self.destinations, RADIUS), self.destinations))
+
+        return self._once("pairs", make)
+
+    def paths(self, closest: bool, detour: float):
+        chosen = access.closest_destination(self.pairs) if closest else self.pairs.select("oid", "did", "dist")
+        return routes.simple_paths(self.edges, self.origins, self.destinations, chosen, detour, RADIUS, self.scratch)
+
+    def trips(self, closest: bool, detour: float, decay=None, origins=None):
+        return flow.trips(self.paths(closest, detour), self.pairs, self.origins if origins is None else origins, BETA, closest, decay)
+
+
+def _streets(w):
+    return w.grid.streets().withColumn("w", F.col("cost").cast("double"))
+
+
+def street_cost_rule(spark, sf_dir):
+    streets = Grid(spark, sf_dir).streets()
+    attribute = F.when(F.col("street_id") % 37 == 0, 0).when(F.col("street_id") % 41 == 0, -1).otherwise(F.col("cost")).cast("double")
+    return streets.select("street_id", network.street_cost(F.col("len"), attribute).alias("weight"))
+
+
+def network_nodes_exact(spark, sf_dir):
+    grid = Grid(spark, sf_dir)
+    at, ends = grid.nodes(), grid.streets().select(F.explode(F.array("s", "e")).alias("node"))
+    return network.exact_nodes(ends.join(at, "node").select("x", "y"), grid.scratch).select("node_id", "x", "y", "degree")
+
+
+def edges_discard(spark, sf_dir):
+    return network.discard_redundant(_streets(World(spark, sf_dir))).select("street_id", "s", "e", "w")
+
+
+def edges_split(spark, sf_dir):
+    w = World(spark, sf_dir)
+    last = w.grid.streets().agg(F.max("street_id")).first()[0] or 0
+    return network.split_redundant(_streets(w), w.grid.n - 1, last).select("edge_id", "parent_id", "s", "e", "w", "len")
+
+
+def edges_keep(spark, sf_dir):
+    return network.keep_redundant(_streets(World(spark, sf_dir))).select("street_id", "used")
+
+
+def edge_tags(spark, sf_dir):
+    return network.tag_edges(_streets(World(spark, sf_dir)), TOLERANCE).select("street_id", "tag")
+
+
+def attach_origins(spark, sf_dir):
+    return World(spark, sf_dir).origins.select("oid", "edge_id", "w_s", "w_e", "wt")
+
+
+def attach_destinations(spark, sf_dir):
+    return World(spark, sf_dir).destinations.select("did", "edge_id", "w_s", "w_e", "wt")
+
+
+def edge_chain(spark, sf_dir):
+    return network.edge_chain(World(spark, sf_dir).origins, "oid")
+
+
+def _line(w):
+    at = w.grid.nodes()
+    s, e = at.select(F.col("node").alias("s"), F.struct("x", "y").alias("a")), at.select(F.col("node").alias("e"), F.struct("x", "y").alias("b"))
+    return w.edges.join(s, "s").join(e, "e")
+
+
+def line_length(spark, sf_dir):
+    coords = F.array("a", "b")
+    mid = geometry.midpoint(coords)
+    return _line(World(spark, sf_dir)).select("edge_id", geometry.length(coords).alias("length"), mid["x"].alias("mid_x"), mid["y"].alias("mid_y"))
+
+
+def nearest_edge(spark, sf_dir):
+    w = World(spark, sf_dir)
+    side, k = w.grid.g * 100, F.col("c_custkey")
+    points = table(spark, sf_dir, "customer").select(k.alias("id"), ((k * 7919) % side).cast("double").alias("x"), ((k * 104729) % side).cast("double").alias("y"))
+    segments = _line(w).select("edge_id", F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.col("b.x").alias("x2"), F.col("b.y").alias("y2"))
+    return network.nearest_edge(points, segments, STEP, w.scratch)
+
+
+def endpoints_within_tolerance(spark, sf_dir):
+    nodes = Grid(spark, sf_dir).nodes()
+    return network.within_tolerance(nodes.select(F.col("node").alias("id"), "x", "y"), 150.0).select("a", "b", F.round("gap", 6).alias("gap"))
+
+
+def od_distance(spark, sf_dir):
+    return World(spark, sf_dir).pairs.select("oid", "did", "dist")
+
+
+def node_scope(spark, sf_dir):
+    return World(spark, sf_dir).scope.select("oid", "node", "cost")
+
+
+def reach(spark, sf_dir):
+    w = World(spark, sf_dir)
+    return access.on_origins(w.origins, access.reach(w.pairs), "reach")
+
+
+def gravity(spark, sf_dir):
+    w = World(spark, sf_dir)
+    return access.on_origins(w.origins, access.gravity(w.pairs, BETA), "gravity")
+
+
+def gravity_alpha(spark, sf_dir):
+    w = World(spark, sf_dir)
+    return access.on_origins(w.origins, access.gravity(w.pairs, BETA, ALPHA), "gravity")
+
+
+def knn_access(spark, sf_dir):
+    w = World(spark, sf_dir)
+    return access.on_origins(w.origins, access.knn_access(w.pairs, KNN, BETA, PLATEAU), "knn_access")
+
+
+def knn_weight(spark, sf_dir):
+    w = World(spark, sf_dir)
+    knn = access.knn_access(w.pairs, KNN, BETA, PLATEAU).join(w.origins.select("oid", "wt"), "oid")
+    return access.on_origins(w.origins, knn.withColumn("knn_weight", F.col("knn_access") * F.col("wt")), "knn_weight")
+
+
+def closest_destination(spark, sf_dir):
+    return access.closest_destination(World(spark, sf_dir).pairs)
+
+
+def top_k_destinations(spark, sf_dir):
+    return access.nearest(World(spark, sf_dir).pairs, 3).select("oid", "rank", "did", "dist")
+
+
+def closest_facility(spark, sf_dir):
+    return access.closest_facility(World(spark, sf_dir).pairs)
+
+
+def closest_facility_reach(spark, sf_dir):
+    w = World(spark, sf_dir)
+    served = access.with_weights(access.closest_facility(w.pairs), w.destinations)
+    return access.on_origins(w.origins, access.reach(served), "reach")
+
+
+def service_area_destinations(spark, sf_dir):
+    w = World(spark, sf_dir)
+    return w.destinations.join(w.pairs, "did", "left_semi").select("did", "wt")
+
+
+def alternative_paths(spark, sf_dir):
+    paths = World(spark, sf_dir).paths(False, DETOUR)
+    return paths.select("oid", "did", F.round("cost", 6).alias("cost"), F.concat_ws(",", F.transform("path", lambda e: e.cast("string"))).alias("path"))
+
+
+def huff_probability(spark, sf_dir):
+    return flow.huff(World(spark, sf_dir).pairs, BETA).select("oid", "did", F.round("p_dest", 6).alias("p_dest"))
+
+
+def _flow(closest, detour, decay):
+    def query(spark, sf_dir):
+        return flow.betweenness(World(spark, sf_dir).trips(closest, detour, decay)).select("edge_id", F.round("betweenness", 6).alias("betweenness"))
+
+    return query
+
+
+def betweenness_elastic(spark, sf_dir):
+    w = World(spark, sf_dir)
+    knn = access.knn_access(w.pairs, KNN, BETA, 0.0)
+    origins = w.origins.join(knn, "oid").withColumn("wt", F.col("knn_access") * F.col("wt"))
+    return flow.betweenness(w.trips(False, 1.0, None, origins)).select("edge_id", F.round("betweenness", 6).alias("betweenness"))
+
+
+def betweenness_origin_stats(spark, sf_dir):
+    stats = flow.origin_stats(World(spark, sf_dir).trips(False, DETOUR, "exponent"))
+    return stats.select("oid", *[F.round(c, 6).alias(c) for c in ("mean_path_length", "probable_travel_distance")], "closest_destination", "furthest_destination", "paths", "destinations")
+
+
+def path_exposure(spark, sf_dir):
+    w = World(spark, sf_dir)
+    out = flow.path_exposure(w.trips(False, DETOUR, "exponent"), w.edges.withColumn("a", (F.col("edge_id") % 11).cast("double")))
+    return out.select("oid", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
+
+
+def turn_penalty_distance(spark, sf_dir):
+    w = World(spark, sf_dir)
+    return routes.turn_distances(w.edges, w.grid.nodes(), w.origins, w.destinations, RADIUS, w.scratch)
+
+
+def color_gradient(spark, sf_dir):
+    shared = styling.share(table(spark, sf_dir, "part"), F.col("p_size"), "level")
+    v = styling.heat(F.col("level"))
+    return shared.select("p_partkey", v[0].cast("int").alias("red"), v[1].cast("int").alias("green"))
+
+
+def color_quantile(spark, sf_dir):
+    grid = Grid(spark, sf_dir)
+    ranked = styling.percent_rank(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_size", "level", grid.scratch)
+    return ranked.select("p_partkey", F.round("level", 9).alias("level"))
+
+
+def radius_scale(spark, sf_dir):
+    return styling.radius(table(spark, sf_dir, "part"), F.col("p_size"), "radius").select("p_partkey", F.round("radius", 6).alias("radius"))
+
+
+def flow_width(spark, sf_dir):
+    return styling.flow_width(table(spark, sf_dir, "part"), F.col("p_size"), "width").select("p_partkey", F.round("width", 6).alias("width"))
+
 
 def queries() -> dict:
-    return {}
+    plain = (street_cost_rule, network_nodes_exact, edges_discard, edges_split, edges_keep, edge_tags, attach_origins, attach_destinations, edge_chain, line_length, nearest_edge, endpoints_within_tolerance, node_scope, od_distance, reach, gravity, gravity_alpha, knn_access, knn_weight, closest_destination, top_k_destinations, closest_facility, closest_facility_reach, service_area_destinations, alternative_paths, huff_probability, betweenness_elastic, betweenness_origin_stats, path_exposure, turn_penalty_distance, color_gradient, color_quantile, radius_scale, flow_width)
+    flows = {
+        "betweenness_closest": _flow(True, 1.0, None),
+        "betweenness_huff": _flow(False, 1.0, None),
+        "betweenness_decay_exponent": _flow(False, 1.0, "exponent"),
+        "betweenness_decay_power": _flow(False, 1.0, "power"),
+        "betweenness_detour": _flow(False, DETOUR, "exponent"),
+    }
+    return {q.__name__: q for q in plain} | flows
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.sql()
