@@ -116,18 +116,21 @@ def _select(ids: np.ndarray, slot: np.ndarray, row: np.ndarray, toxic: np.ndarra
     return np.array(picked, int)[order], np.array(odds)[order]
 
 
-def fit_rows(rows: list[list[str]], toxic: np.ndarray, steps: int = 300, penalty: float = 1e-4) -> Ordinal:
-    """Proximal gradient with Adam scaling on the cumulative-link likelihood; rows hold distinct words."""
+def fit_rows(rows: pa.ListArray, toxic: np.ndarray, steps: int = 300, penalty: float = 1e-4) -> Ordinal:
+    """Proximal gradient with Adam scaling on the cumulative-link likelihood; rows hold distinct words.
+
+    Words stay dictionary codes, so that memory grows with distinct words and not with their uses.
+    """
     if not len(toxic) or toxic.min() == toxic.max():
         return Ordinal({}, [20.0 + j for j in range(GRADES)])
     numbers: dict[str, int] = {}
-    of: dict[str, np.ndarray] = {}
+    coded = rows.flatten().dictionary_encode()
+    of = [np.array([numbers.setdefault(x, len(numbers)) for x in parts(w.as_py())], np.int32) for w in coded.dictionary]
+    ends = np.cumsum(rows.value_lengths().to_numpy(zero_copy_only=False))
     each = []
-    for ws in rows:
-        for w in ws:
-            if w not in of:
-                of[w] = np.array([numbers.setdefault(x, len(numbers)) for x in parts(w)], np.int32)
-        each.append(np.unique(np.concatenate([of[w] for w in ws])) if len(ws) else np.zeros(0, np.int32))
+    for codes in np.split(coded.indices.to_numpy(), ends[:-1]):
+        each.append(np.unique(np.concatenate([of[k] for k in codes])) if len(codes) else np.zeros(0, np.int32))
+    del of, coded
     ids = np.array(list(numbers), object)
     slot = np.concatenate(each)
     row = np.repeat(np.arange(len(rows)), [len(x) for x in each])
@@ -175,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Ordina
         return one
 
     got = map_rows(known, ["doc_id", "y", F.col("text").cast("string")], make, "doc_id long, y int, words array<string>").toArrow().sort_by("doc_id")
-    return fit_rows([x.as_py() for x in got.column("words")], got.column("y").to_numpy().astype(np.float64))
+    return fit_rows(got.column("words").combine_chunks(), got.column("y").to_numpy().astype(np.float64))
 
 
 def score(docs: DataFrame, model: Ordinal) -> DataFrame:
