@@ -79,25 +79,24 @@ class Ordinal:
         return 1 - _sigmoid(np.array(self.thresholds) - self.linear(text))
 
 
-def _select(ids: np.ndarray, slot: np.ndarray, row: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features chosen greedily for the toxic rows they explain, with their log odds.
+def _select(ids: np.ndarray, rows: dict[int, np.ndarray], clean: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features chosen greedily for the toxic ``rows`` they explain, with their log odds.
 
-    A row counts until ``COVERS`` features explain it, near copies count once, and of a word and its
-    prefixes one is chosen. A feature needs ``SUPPORT`` rows that still count and few clean ones.
+    ``clean`` counts the clean rows of each feature and ``size`` all of them. A row counts until
+    ``COVERS`` features explain it, near copies count once, and of a word and its prefixes one is
+    chosen. A feature needs ``SUPPORT`` rows that still count and few clean ones.
     """
     copies: dict[tuple, int] = {}
-    for i in np.flatnonzero(toxic == 1):
-        mine = slot[np.searchsorted(row, i) : np.searchsorted(row, i, "right")]
+    for i, mine in rows.items():
         copies.setdefault(tuple(sorted(crc32(ids[k].encode("utf-8", "surrogatepass")) for k in mine)[:4]), i)
-    first = np.zeros(len(toxic), bool)
-    first[list(copies.values())] = True
-    clean = np.bincount(slot[toxic[row] == 0], minlength=len(ids))
-    use = first[row]
-    r, c = row[use], slot[use]
-    by = np.argsort(c, kind="stable")
+    n_first = len(copies)
+    first = np.ones(n_first, bool)
+    c = np.concatenate([rows[i] for i in copies.values()])
+    r = np.repeat(np.arange(n_first, dtype=np.int32), [len(rows[i]) for i in copies.values()])
+    by = np.argsort(c, kind="stable").astype(np.int32)
     where = np.searchsorted(c[by], np.arange(len(ids) + 1))
+    base = np.log((0.5 + clean) / (1 + size))
     left = np.where(first, COVERS, 0)
-    base = np.log((0.5 + clean) / (1 + (toxic == 0).sum()))
     alive = where[1:] - where[:-1] >= SUPPORT
     picked, odds = [], []
     while len(picked) < MAX_FEATURES:
@@ -119,29 +118,38 @@ def _select(ids: np.ndarray, slot: np.ndarray, row: np.ndarray, toxic: np.ndarra
 def fit_rows(rows: pa.ListArray, toxic: np.ndarray, steps: int = 300, penalty: float = 1e-4) -> Ordinal:
     """Proximal gradient with Adam scaling on the cumulative-link likelihood; rows hold distinct words.
 
-    Words stay dictionary codes, so that memory grows with distinct words and not with their uses.
+    Words stay dictionary codes, only features met in toxic rows are numbered, and clean rows are
+    held as counts of these, so that memory grows with distinct words and not with their uses.
     """
     if not len(toxic) or toxic.min() == toxic.max():
         return Ordinal({}, [20.0 + j for j in range(GRADES)])
-    numbers: dict[str, int] = {}
     coded = rows.flatten().dictionary_encode()
-    of = [np.array([numbers.setdefault(x, len(numbers)) for x in parts(w.as_py())], np.int32) for w in coded.dictionary]
     ends = np.cumsum(rows.value_lengths().to_numpy(zero_copy_only=False))
-    each = []
-    for codes in np.split(coded.indices.to_numpy(), ends[:-1]):
-        each.append(np.unique(np.concatenate([of[k] for k in codes])) if len(codes) else np.zeros(0, np.int32))
-    del of, coded
-    ids = np.array(list(numbers), object)
-    slot = np.concatenate(each)
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in each])
-    keep, odds = _select(ids, slot, row, toxic)
-    evidence = np.bincount(row, np.isin(slot, keep), minlength=len(rows))
+    codes = np.split(coded.indices.to_numpy(), ends[:-1])
+    ill = np.flatnonzero(toxic == 1)
+    met = np.zeros(len(coded.dictionary), bool)
+    for i in ill:
+        met[codes[i]] = True
+    wanted = {x for k in np.flatnonzero(met) for x in parts(coded.dictionary[k].as_py())}
+    numbers: dict[str, int] = {}
+    of = [np.array([numbers.setdefault(x, len(numbers)) for x in parts(w.as_py()) if x in wanted], np.int32) for w in coded.dictionary]
+    del wanted, coded
+
+    def slots(i: int) -> np.ndarray:
+        return np.unique(np.concatenate([of[k] for k in codes[i]])) if len(codes[i]) else np.zeros(0, np.int32)
+
+    ids, clean = np.array(list(numbers), object), np.zeros(len(numbers), np.int64)
+    del numbers
+    for i in np.flatnonzero(toxic == 0):
+        clean[slots(i)] += 1
+    keep, odds = _select(ids, {i: slots(i) for i in ill}, clean, len(toxic) - len(ill))
+    column = np.full(len(ids), -1, np.int32)
+    column[keep] = np.arange(len(keep))
+    found = [(x := column[slots(i)])[x >= 0] for i in range(len(rows))]
+    evidence = np.array([len(x) for x in found])
     cuts = np.quantile(evidence[toxic == 1], [1 / 3, 2 / 3])
     grade = np.where(toxic == 1, 1 + (evidence > cuts[0]) + (evidence > cuts[1]), 0).astype(int)
-    column = np.full(len(ids), -1)
-    column[keep] = np.arange(len(keep))
-    use = column[slot] >= 0
-    r, c = row[use], column[slot][use]
+    r, c = np.repeat(np.arange(len(rows)), evidence), np.concatenate(found)
     mid = float(np.median(odds)) if len(odds) else 2.0
     w, theta = odds.copy(), mid * np.array([0.6, max(1.5, cuts[0] + 0.5), max(2.5, cuts[1] + 0.5)])
     at = np.arange(len(rows))
