@@ -33,6 +33,8 @@ from wayfold.session import Scratch, prepare
 DISTANCE = 3
 HOT_HOMES = 4096
 RUN = 32
+#: Bits of the bitmap that spares most rows a shuffle (8 MB), and of each of its rows.
+MARKS, PAGE = 1 << 26, 1 << 15
 
 
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -282,6 +284,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not among the distinct ids ``_id`` of ``gone``.
+
+    The ids set bits of a hashed bitmap of ``MARKS`` bits, ``MARKS / 8`` bytes at every input size, which
+    alone is broadcast. Rows on a bit that is not set stay where they are; only the others, whole
+    texts included, are dealt out for the exact join.
+    """
+    slot = lambda x: F.pmod(F.xxhash64(F.lit(0), x), F.lit(MARKS))
+    marks = gone.select(slot(F.col("_id")).alias("_slot")).groupBy(F.floor(F.col("_slot") / PAGE).alias("_page")).agg(F.bitmap_construct_agg(F.col("_slot") % PAGE).alias("_bits"))
+    here = slot(docs["doc_id"].cast("long"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(here % PAGE / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = F.coalesce(F.getbit(byte, (here % 8).cast("int")) == 1, F.lit(False))
+    rows = docs.join(F.broadcast(marks), F.floor(here / PAGE) == F.col("_page"), "left")
+    own = [docs[c] for c in docs.columns]
+    doubted = rows.where(marked).select(*own)
+    return rows.where(~marked).select(*own).unionByName(doubted.join(gone, doubted["doc_id"].cast("long") == gone["_id"], "left_anti"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without all but one of each component, all columns as they are.
 
@@ -291,8 +311,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     found = near_duplicates(docs).where("doc_id is not null")
     found = scratch.keep(found.select(F.col("doc_id").alias("_id"), (F.col("doc_id") == F.col("component_id")).alias("_stays")))
-    gone = found.where("not _stays").select("_id").distinct()
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    left = without(docs, found.where("not _stays").select("_id").distinct())
     repeated = found.where("_stays").groupBy("_id").count().where("count > 1").select("_id")
     if not repeated.take(1):
         return left
