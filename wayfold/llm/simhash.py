@@ -294,9 +294,9 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     slot = lambda x: F.pmod(F.xxhash64(F.lit(0), x), F.lit(MARKS))
     marks = gone.select(slot(F.col("_id")).alias("_slot")).groupBy(F.floor(F.col("_slot") / PAGE).alias("_page")).agg(F.bitmap_construct_agg(F.col("_slot") % PAGE).alias("_bits"))
     here = slot(docs["doc_id"].cast("long"))
-    byte = F.conv(F.hex(F.substring("_bits", (F.floor(here % PAGE / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring(marks["_bits"], (F.floor(here % PAGE / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     marked = F.coalesce(F.getbit(byte, (here % 8).cast("int")) == 1, F.lit(False))
-    rows = docs.join(F.broadcast(marks), F.floor(here / PAGE) == F.col("_page"), "left")
+    rows = docs.join(F.broadcast(marks), F.floor(here / PAGE) == marks["_page"], "left")
     own = [docs[c] for c in docs.columns]
     doubted = rows.where(marked).select(*own)
     return rows.where(~marked).select(*own).unionByName(doubted.join(gone, doubted["doc_id"].cast("long") == gone["_id"], "left_anti"))
