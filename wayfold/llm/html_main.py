@@ -2,10 +2,15 @@
 
 A tolerant tokenizer builds the page's tree. Every paragraph gives points for its length and its
 commas to its parent, half of them to its grandparent and a third above that; a container's points
-are discounted by its link density, and by what its class and id say. The best container and those
-siblings that score alike are kept; their blocks are returned in page order. Inside them, elements
-that are never article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, reader comments) are left out. Nothing else is dropped or capped.
+are discounted by its link density, and by what its class and id say. Where the best container lies
+in an article, the outermost one is kept whole, with what lies beside it in a main around it and
+with the articles beside these; in a main alone, that is kept whole. Else the branches beside the
+best container are kept, and those beside each ancestor up to the last that holds ``NOTABLE``
+characters of further text; above it, only headings, p and text right in the ancestor. A branch
+beside the kept container, or text beside it, counts unless over a quarter of it is links and it
+scores low: such are taken for menus and teasers. The blocks kept are returned in page order.
+Elements that are never article text (menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles, reader comments) are left out. Nothing else is dropped or capped, at any length.
 
 Null or empty html, and pages without text: empty text. A page cut off in the middle of a tag loses
 that tag only. Very deep nesting needs no recursion. Null page_id and repeated rows each return
@@ -29,7 +34,7 @@ SPACE = re.compile(r"[\s]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-PARAGRAPHS = frozenset("p pre blockquote td li dd h1 h2 h3 h4 h5 h6 figcaption".split())
+PARAGRAPHS = frozenset("p pre blockquote td th li dt dd h1 h2 h3 h4 h5 h6 figcaption caption summary".split())
 #: An open element of the key is closed by the start of one of the values.
 CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}, "head": {"body"}}
 #: A start tag looks for something to close no further up than these.
@@ -43,6 +48,8 @@ NOISE_NAMES = frozenset("""ad ads adv advert adverts advertisement advertisement
 GOOD_NAMES = frozenset("article articlebody body content contents entry main mainbody page post postbody story text hentry".split())
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 STRONG = {"article": 25.0, "main": 20.0}
+HEADINGS_P = frozenset("p h1 h2 h3 h4 h5 h6".split())
+NOTABLE = 80
 
 
 class Node:
@@ -171,15 +178,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
 def _score(nodes: list[Node], blocks: list[tuple[Node, str]]) -> None:
     for node, piece in blocks:
         size = len(piece)
-        if node.tag in PARAGRAPHS or node.tag in ("div", "section", "article", "main"):
-            points = (1.0 if size >= 25 else 0.2) + piece.count(",") + min(size / 100, 3.0)
-            up, share = (node.parent if node.tag in PARAGRAPHS else node), 1.0
-            for depth in range(4):
-                if up is None or up.tag in ("#root", "html"):
-                    break
-                up.points += points * share
-                share = 0.5 if depth == 0 else share * 2 / 3
-                up = up.parent
+        points = (1.0 if size >= 25 else 0.2) + piece.count(",") + min(size / 100, 3.0)
+        up, share = (node.parent if node.tag in PARAGRAPHS else node), 1.0
+        for depth in range(4):
+            if up is None or depth and up.tag in ("#root", "html"):
+                break
+            up.points += points * share
+            share = 0.5 if depth == 0 else share * 2 / 3
+            up = up.parent
         while node is not None:
             node.text += size
             node = node.parent
@@ -195,6 +201,50 @@ def _score(nodes: list[Node], blocks: list[tuple[Node, str]]) -> None:
             node.points *= 1 - min(1.0, node.link / max(1, node.text))
 
 
+def _up(node: Node) -> list[Node]:
+    """An element and its ancestors."""
+    out = []
+    while node is not None:
+        out.append(node)
+        node = node.parent
+    return out
+
+
+def _calm(text: int, link: int) -> bool:
+    return link <= 0.25 * max(1, text)
+
+
+def _beside(nodes: list[Node], blocks: list[tuple[Node, str]], start: Node, top: Node, bar: float, whole: bool) -> list[tuple[int, int]]:
+    """The block ranges to keep beside ``start`` below its ancestors up to ``top``: all branches at every level if ``whole``."""
+    path = _up(start)
+    path = path[: path.index(top) + 1]
+    level = {n: k for k, n in enumerate(path[1:])}
+    branches: list[list[Node]] = [[] for _ in level]
+    direct: list[list[int]] = [[] for _ in level]
+    text, link = [0] * len(level), [n.link for n in level]
+    for n in nodes:
+        k = level.get(n.parent)
+        if k is not None and n.text:
+            link[k] -= n.link
+            if n is not path[k] and not n.hidden and (n.points >= bar or _calm(n.text, n.link)):
+                branches[k].append(n)
+    for i, (owner, piece) in enumerate(blocks):
+        k = level.get(owner)
+        if k is not None:
+            direct[k].append(i)
+            text[k] += len(piece)
+    keep, last = [], len(level) - 1 if whole else 0
+    for k in range(len(level)):
+        if not _calm(text[k], link[k]):
+            direct[k] = []
+        if sum(n.text - n.link for n in branches[k]) + (text[k] - link[k] if direct[k] else 0) >= NOTABLE:
+            last = max(last, k)
+    for k in range(len(level)):
+        keep += [(n.first, n.last) for n in branches[k] if k <= last or n.tag in HEADINGS_P and _calm(n.text, n.link)]
+        keep += [(i, i + 1) for i in direct[k]]
+    return keep
+
+
 def extract(page: str | None) -> str:
     """The article's text: its blocks in page order, two line feeds between them."""
     if not page:
@@ -207,17 +257,17 @@ def extract(page: str | None) -> str:
     if not scored:
         return "\n\n".join(piece for _, piece in blocks)
     best = max(scored, key=lambda n: (n.points, -n.first))
-    chosen = [best]
-    if best.tag not in STRONG:
-        bar = max(5.0, 0.2 * best.points)
-        for n in nodes:
-            if n.parent is best.parent and n is not best and not n.hidden:
-                calm = n.link <= 0.25 * max(1, n.text)
-                if n.points >= bar or calm and (n.tag in PARAGRAPHS and n.text > 0 or n.tag == best.tag and n.points > 0):
-                    chosen.append(n)
-    else:
-        chosen += [n for n in scored if n.parent is best.parent and n is not best and n.tag == best.tag and n.points >= 0.2 * best.points]
-    wanted = sorted((n.first, n.last) for n in chosen)
+    around = _up(best)
+    strong = [n for n in around if n.tag in STRONG]
+    start = ([n for n in strong if n.tag == "article"] or strong or [best])[-1]
+    top = strong[-1] if strong else around[-1]
+    wanted = [(start.first, start.last)]
+    if start is not top:
+        wanted += _beside(nodes, blocks, start, top, max(5.0, 0.2 * best.points), bool(strong))
+    if strong:
+        alike = [n for n in nodes if n.parent is top.parent and n is not top and n.tag == top.tag and n.text and not n.hidden]
+        wanted += [(n.first, n.last) for n in alike if n.points > 0 and n.points >= 0.2 * top.points or _calm(n.text, n.link)]
+    wanted.sort()
     out, done = [], 0
     for first, last in wanted:
         out += [piece for _, piece in blocks[max(first, done) : last]]
