@@ -18,6 +18,7 @@ are not read. All shards may be empty.
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, Window
@@ -186,19 +187,38 @@ def by_source(shards: int, column: str = "source") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(shards)).cast("int")
 
 
-def rewrite(placed: DataFrame, target: str) -> None:
-    """Write the affected shards below ``target`` (shard=N folders): those that a row enters or leaves.
+def rewrite(docs: DataFrame, old_shard: Column, placed: DataFrame, target: str) -> list[int]:
+    """Rewrite the affected shards below ``target`` (shard=N folders): those that a row enters or leaves.
 
-    ``placed`` has the columns of the table and shard and old_shard. Shards that keep exactly their rows
-    are not touched; shards that lost all rows are left to the caller to delete.
+    ``docs`` and ``old_shard`` are what ``placed`` was made from by ``reshard``; ``docs`` may be read from
+    ``target``, which holds the old layout. All its columns are written, but for one named shard, which
+    gives way to the new number. Rows are matched by doc_id (null too), size, text and old shard; those
+    alike in all these are numbered on both sides, so each gets one place. The files are written beside
+    the old ones first, in a folder that readers skip, then take their place one by one; shards that
+    lost all rows go. Shards that keep exactly their rows are not touched. Returns the affected ones.
     """
     flows = placed.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct()
-    affected = [r["shard"] for r in flows.collect()]  # shard numbers: bounded
-    rows = placed.where(F.col("shard").isin(affected))
-    spark = placed.sparkSession
-    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        rows.write.mode("overwrite").partitionBy("shard").parquet(target)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+    affected = sorted(r["shard"] for r in flows.collect())  # shard numbers: bounded
+    if not affected:
+        return []
+    spark = docs.sparkSession
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = ["_id", "_size", "_crc", "_old"]
+    columns = [c for c in docs.columns if c.lower() != "shard"]
+    mine = docs.select(F.col("doc_id").cast("long").alias("_id"), (F.octet_length(text) + 1).cast("long").alias("_size"), F.crc32(text.cast("binary")).alias("_crc"), old_shard.cast("int").alias("_old"), *columns)
+    mine = mine.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(*columns))))
+    theirs = placed.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), F.col("old_shard").alias("_old"), F.col("shard").alias("_to"), "slot")
+    theirs = theirs.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("_to", "slot"))).where(F.col("_to").isin(affected)).drop("slot")
+    same = F.lit(True)
+    for c in [*key, "_n"]:
+        same = same & mine[c].eqNullSafe(theirs[c])
+    staged = f"{target.rstrip('/')}/_rewrite-{uuid.uuid4().hex}"
+    mine.join(theirs, same).select(*columns, theirs["_to"].alias("shard")).write.partitionBy("shard").parquet(staged)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(staged).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for n in affected:
+        fs.delete(path(f"{target}/shard={n}"), True)
+        if fs.exists(path(f"{staged}/shard={n}")) and not fs.rename(path(f"{staged}/shard={n}"), path(f"{target}/shard={n}")):
+            raise OSError(f"shard {n} could not be moved from {staged}")
+    fs.delete(path(staged), True)
+    return affected
