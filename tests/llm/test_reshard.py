@@ -33,3 +33,15 @@ def test_rewrite(spark, tmp_path, shards):
     assert {int(p.parent.name.split("=")[1]) for p in after} == {r.shard for r in got}
     if shards == 4:
         assert not (Path(target) / "shard=5").exists() and max(r.shard for r in got) == 3
+
+
+def test_repair_of_a_long_row(spark):
+    rows = [(0, "x" * 400_000), *((i, "y" * (20 if i % 2 else 997 * (1 + i % 9))) for i in range(1, 1200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = {r[0]: r[1] for r in reshard.reshard(docs, F.lit(0), 1, 4).groupBy("shard").agg(F.sum("size")).collect()}
+    even = sum(len(t) + 1 for _, t in rows) / 4
+    assert len(sizes) == 4 and max(abs(x - even) for x in sizes.values()) <= 100
+
+
+def test_repair_goes_on_past_a_stuck_shard():
+    assert reshard.repair([130, 120, 50], [(1, 10), (1, 10)]) == [(1, 1, 2), (0, 1, 2)]

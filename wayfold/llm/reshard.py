@@ -4,8 +4,10 @@ Rows lie in old shards; the new shards have capacities. A min-cost flow from the
 to the new capacities, at the cost of the bytes that change shard (or any cost per pair given), says
 how many bytes go from where to where: what can stay stays, so the fewest bytes move. The flow is
 carried out in blocks, hashed parts of an old shard of about ``BLOCK_BYTES``: whole blocks go as one
-transfer, and the few blocks on the border of two transfers are cut between rows. A last repair
-moves small rows out of the border blocks until no shard is off by more than such a row.
+transfer, and the few blocks on the border of two transfers are cut between rows. This leaves a shard
+off by up to half of the row at each of its cuts. A last repair moves rows out of the border blocks,
+the largest that fit first: of each shard some of every order of size and the smallest. What it leaves
+depends on the rows there: without any that fit the gap, the bound of the cuts stands.
 
 The driver sees the shards and the sums of at most ``MAX_BLOCKS`` blocks, never rows in proportion to
 the table. Rows are numbered in two steps, block by block, so a hot source is spread over its blocks.
@@ -29,6 +31,8 @@ from wayfold.session import Scratch
 BLOCK_BYTES, MAX_BLOCKS = 64 << 20, 1 << 16
 LEAST_BLOCKS = 16
 REPAIR_ROWS = 64
+#: Besides the smallest, so many rows of each power of two of bytes.
+GRADED_ROWS = 4
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> dict[tuple[int, int], int]:
@@ -113,12 +117,16 @@ def repair(loads: list[int], small: list[tuple[int, int]]) -> list[tuple[int, in
     for i, (shard, size) in enumerate(small):
         by[shard].append((size, i))
     moves = []
-    for _ in range(len(small)):
-        rich, poor = max(range(len(loads)), key=lambda j: (loads[j], -j)), min(range(len(loads)), key=lambda j: (loads[j], j))
+    stuck: set[int] = set()
+    while len(stuck) < len(loads):
+        rich, poor = max(set(range(len(loads))) - stuck, key=lambda j: (loads[j], -j)), min(range(len(loads)), key=lambda j: (loads[j], j))
+        if loads[rich] <= target:
+            break
         most = min(loads[rich] - target, target - loads[poor])
         fit = max((x for x in by[rich] if x[0] <= max(most, (loads[rich] - loads[poor]) / 2)), default=None)
-        if fit is None:
-            break
+        if fit is None:  # no poorer shard comes up later, so none will fit
+            stuck.add(rich)
+            continue
         by[rich].remove(fit)
         loads[rich] -= fit[0]
         loads[poor] += fit[0]
@@ -160,11 +168,15 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, shards: int = 1
     loads = [0] * shards
     for r in placed.groupBy("shard").agg(F.sum("size").alias("size")).collect():
         loads[r["shard"]] = r["size"]
-    # A bounded number of the smallest rows of each shard's border blocks, told apart by all they are placed by.
+    # A bounded number of rows of each shard's border blocks, of graded sizes, told apart by all they are placed by.
     alike = ["old", "block", "shard", "spread", "doc_id", "size", "text_crc32"]
     few = Window.partitionBy("shard").orderBy("size", "spread", "doc_id")
     border = placed.where("border and doc_id is not null").groupBy(alike).count().where("count = 1").select(*alike)
-    small = border.withColumn("n", F.row_number().over(few)).where(F.col("n") <= REPAIR_ROWS).orderBy("shard", "n").collect()
+    graded = Window.partitionBy("shard", "grade").orderBy("size", "spread", "doc_id")
+    border = scratch.keep(border.withColumn("grade", F.floor(F.log2("size")).cast("int")))
+    tried = border.withColumn("n", F.row_number().over(few)).where(F.col("n") <= REPAIR_ROWS).drop("n")
+    tried = tried.union(border.withColumn("n", F.row_number().over(graded)).where(F.col("n") <= GRADED_ROWS).drop("n"))
+    small = tried.distinct().orderBy("shard", "size", "spread", "doc_id").collect()
     moves = repair(loads, [(r["shard"], r["size"]) for r in small]) if capacities == sorted(capacities, reverse=True) and capacities[0] - capacities[-1] <= 1 else []
     last = {}
     for i, _, to in moves:
