@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.arrowtools import held_out, map_rows
 from wayfold.llm.labelled import sample
-from wayfold.llm.texts import LOWER, utf8, word_blocks
+from wayfold.llm.texts import LONG_TEXT, LOWER, utf8, word_blocks
 
 WORDS = 1 << 15
 BINS = 16
@@ -51,14 +51,25 @@ def statistics(text: str | None, n_chars: int | None) -> tuple[list[int], Counte
     h = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
     counts: Counter = Counter()
     n = repeats = pairs = fresh_pairs = word_bytes = short = 0
+    last: list[bytes] = []
+    codes: dict[bytes, int] = {}
+    coded: list[np.ndarray] = []
     for words in word_blocks(data.translate(LOWER)):
         counts.update(words)
         n += len(words)
         word_bytes += sum(map(len, words))
+        if len(data) > LONG_TEXT:  # pairs over all blocks, as numbers
+            coded.append(np.array([codes.setdefault(w, len(codes)) for w in words], np.uint32))
+            words = last + words
+            last = words[-1:]
         next_words = words[1:]
         repeats += sum(map(bytes.__eq__, words, next_words))
         pairs += len(next_words)
-        fresh_pairs += len(set(zip(words, next_words, strict=False)))
+        if not coded:
+            fresh_pairs = len(set(zip(words, next_words, strict=False)))
+    if coded:
+        whole = np.concatenate(coded).astype(np.uint64)
+        fresh_pairs = len(np.unique(whole[:-1] << np.uint64(32) | whole[1:]))
     short = sum(c for w, c in counts.items() if len(w) <= 2)
     lines = data.split(b"\n")
     size = len(data)
