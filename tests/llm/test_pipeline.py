@@ -78,3 +78,18 @@ def test_without_ids(spark):
     assert sorted(r[2] for r in kept.collect()) == [1, 4, 5]
     assert sorted(r[2] for r in simhash.without(docs, gone.limit(0)).collect()) == [1, 2, 3, 4, 5, 6]
     assert simhash.without(docs.limit(0), gone).count() == 0
+
+
+def test_keep_one_by_row(spark):
+    a, b, c, d = (" ".join(f"{w}{k}" for k in range(60)) for w in "abcd")
+    rows = [(5, a), (5, b), (3, b), (7, c), (7, d), (8, c), (9, a), (9, None), (9, None), (None, a), (None, a), (11, "x"), (11, "X")]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(0, a), (0, a), (3, b), (5, a), (7, c), (7, d), (9, ""), (11, "X")])
+
+
+def test_keep_one_of_unlike_id(spark):
+    a, b = (" ".join(f"{w}{k}" for k in range(60)) for w in "ab")
+    docs = spark.createDataFrame([(5, a), (5, b), (3, b)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one(docs).collect())) == [(3, b), (5, a)]

@@ -23,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.arrowtools import map_rows
+from wayfold.llm.arrowtools import map_rows, texts_per_batch
 from wayfold.llm.texts import LOWER, utf8, word_blocks
 from wayfold.session import Scratch, prepare
 
@@ -305,17 +305,42 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without all but one of each component, all columns as they are.
 
-    The row of the smallest doc_id stays; of repeated rows of one doc_id, the first by text stays. Rows
-    of a null doc_id stay.
+    Components are of fingerprints here, so unlike texts of one doc_id are of different ones. Of each, a
+    row of the smallest doc_id stays; where several rows of it are alike, the first by text. Rows of a
+    null doc_id stay.
     """
     scratch = Scratch(docs.sparkSession)
-    found = near_duplicates(docs).where("doc_id is not null")
-    found = scratch.keep(found.select(F.col("doc_id").alias("_id"), (F.col("doc_id") == F.col("component_id")).alias("_stays")))
-    left = without(docs, found.where("not _stays").select("_id").distinct())
-    repeated = found.where("_stays").groupBy("_id").count().where("count > 1").select("_id")
+    fps = scratch.keep(fingerprints(docs).where("doc_id is not null"))
+    distinct = scratch.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    labels = components(links(distinct.select("fp", F.col("fp").alias("rep"))), scratch)
+    linked = scratch.keep(labels.join(distinct, labels.node == distinct.fp).select(F.col("fp").alias("_fp"), F.col("component").alias("_component"), "first"))
+    least = linked.groupBy("_component").agg(F.min("first").alias("_least"))
+    of = distinct.select(F.col("fp").alias("_fp"), "first").join(linked.join(least, "_component").select("_fp", "_component", "_least"), "_fp", "left")
+    of = of.select("_fp", F.coalesce("_component", "_fp").alias("_component"), F.coalesce("_least", "first").alias("_least"))
+    found = fps.join(of, fps.fp == of["_fp"]).select(F.col("doc_id").alias("_id"), "_fp", "_component", (F.col("doc_id") == F.col("_least")).alias("_stays"))
+    found = scratch.keep(found)
+    ids = scratch.keep(found.groupBy("_id").agg(F.count("*").alias("_rows"), F.max("_stays").alias("_any")))
+    left = without(docs, ids.where("not _any").select("_id"))
+    repeated = ids.where("_any and _rows > 1").select("_id")
     if not repeated.take(1):
         return left
     once = left.join(repeated, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    again = left.join(repeated, F.col("doc_id").cast("long") == F.col("_id"), "left_semi").withColumn("_first", F.row_number().over(first)).where("_first = 1").select(*docs.columns)
-    return once.unionByName(again)
+    again = left.join(repeated, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    again = again.withColumn("_row_fp", _print_of(docs.sparkSession)(F.col("text").cast("string")))
+    stays = found.where("_stays").join(repeated, "_id", "left_semi").select("_id", "_fp", "_component").distinct()
+    first = Window.partitionBy("_component").orderBy("text")
+    again = again.join(stays, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_row_fp") == F.col("_fp")))
+    return once.unionByName(again.withColumn("_first", F.row_number().over(first)).where("_first = 1").select(*docs.columns))
+
+
+def _print_of(spark: SparkSession):
+    """The fingerprint of a text as a function of columns."""
+    from pyspark.sql.functions import arrow_udf
+
+    texts_per_batch(spark)
+
+    @arrow_udf("long")
+    def fp(text: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(t) for t in text.to_pylist()], np.uint64).view(np.int64))
+
+    return fp
