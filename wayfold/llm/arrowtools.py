@@ -14,7 +14,10 @@ BATCH_ROWS = 1000
 
 
 def texts_per_batch(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Few rows to an Arrow batch: some texts are very long, and a worker holds a batch whole."""
+    """Few rows to an Arrow batch: some texts are very long, and a worker holds a batch whole.
+
+    This lowers the session's setting for good: it is read when a plan runs, long after this call.
+    """
     prepare(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) <= 0 or int(spark.conf.get(key)) > rows:

@@ -8,8 +8,10 @@ no gap are packed into 1024-windows, filled up the same way; short ones that are
 256-windows, and the last few tokens sequences of powers of two. So nearly every sequence ends at a
 power of two and is not padded. Sequences are then dealt to step groups of near equal tokens.
 
-Groups come from a hash of the documents and hold about ``GROUP_TOKENS`` tokens, however large the
-corpus: packing a group needs only its pieces' lengths, and the ids of its short tier.
+Groups come from a hash of the pieces' numbers and hold about ``GROUP_TOKENS`` tokens, however large
+the corpus and however many documents are alike: packing a group needs only its pieces' lengths, and
+the ids of its short tier. The numbers are those of the task that made the piece and of the piece in
+it, and are written with it, so they stay what they are when a later task is run again.
 
 Null or empty text: the end id alone. Null doc_id and repeated rows: each row is a document of its
 own. An empty table gives an empty result. Other columns are not read.
@@ -22,6 +24,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +36,7 @@ CONTEXT, MIDDLE, SHORT = 4096, 1024, 256
 END = 2
 GROUP_TOKENS = 8 << 20
 STEP_TOKENS = 64 * CONTEXT
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, spread long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, row long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
@@ -43,18 +46,19 @@ def pieces(docs: DataFrame, path: str) -> DataFrame:
     def make():
         tokens = WordTokens(path)
         end = END.to_bytes(4, "little")
+        task, made = TaskContext.get().partitionId() << 40, [0]
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = tokens.ids(text) + end
                 n = len(ids) // 4
-                spread = crc32(ids)
                 for start in range(0, n, CONTEXT):
                     part = ids[4 * start : 4 * (start + CONTEXT)]
                     size = len(part) // 4
-                    out.append((doc_id, start, size, crc32(part), n, part if size <= SHORT else None, spread))
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "spread"]
+                    out.append((doc_id, start, size, crc32(part), n, part if size <= SHORT else None, task + len(out) + made[0]))
+            made[0] += len(out)
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "row"]
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
@@ -149,24 +153,33 @@ def _steps(used: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pack_group(key, rows):
-    rows = rows.sort_values(["doc_id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
-    lengths = rows["length"].tolist()
-    ids = rows["ids"]
-    placed, tiers = pack(lengths, lambda i: ids.iat[i])
+def _pack_group(key: tuple, rows: pa.Table) -> pa.Table:
+    rows = rows.combine_chunks().sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending"), ("row", "ascending")])
+    ids = rows.column("ids")
+    placed, tiers = pack(rows.column("length").to_pylist(), lambda i: ids[i].as_py())
     item, start, length, sequence, crc = (list(x) for x in zip(*placed, strict=True))
-    out = rows.loc[item, ["doc_id", "start", "ids_crc32", "doc_tokens"]].reset_index(drop=True)
-    out["start"] += np.array(start)
-    out["ids_crc32"] = [old if new is None else new for old, new in zip(out["ids_crc32"], crc, strict=True)]
-    out["length"] = length
-    out["tier"] = np.array(tiers)[sequence]
+    mine = rows.take(pa.array(item, pa.int64()))
+    length, sequence = np.array(length, np.int64), np.array(sequence, np.int64)
+    whole = mine.column("ids_crc32").to_pylist()
     used = np.bincount(sequence, length, minlength=len(tiers))
-    group = int(key[0])
-    out["step_group"] = group * (1 << 20) + _steps(used)[sequence]
-    out["offset"] = out.groupby(np.array(sequence))["length"].cumsum() - out["length"]
-    out["sequence_id"] = group * (1 << 30) + np.array(sequence)
-    out["doc_id"] = out["doc_id"].astype("Int64")
-    return out[[c.split()[0] for c in PACKED.split(", ")]]
+    order = np.argsort(sequence, kind="stable")  # pieces come in order of place within each sequence
+    before = np.cumsum(length[order]) - length[order]
+    first = np.r_[True, np.diff(sequence[order]) != 0]
+    offset = np.empty(len(length), np.int64)
+    offset[order] = before - np.repeat(before[first], np.diff(np.r_[np.flatnonzero(first), len(length)]))
+    group = key[0].as_py()
+    columns = {
+        "doc_id": mine.column("doc_id"),
+        "start": pa.array(mine.column("start").to_numpy() + np.array(start, np.int64)),
+        "length": pa.array(length),
+        "ids_crc32": pa.array([old if new is None else new for old, new in zip(whole, crc, strict=True)], pa.int64()),
+        "doc_tokens": mine.column("doc_tokens"),
+        "sequence_id": pa.array(group * (1 << 30) + sequence),
+        "offset": pa.array(offset),
+        "tier": pa.array(np.array(tiers, np.int32)[sequence]),
+        "step_group": pa.array(group * (1 << 20) + _steps(used)[sequence]),
+    }
+    return pa.table(columns)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -175,5 +188,5 @@ def pack_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     made = scratch.keep(pieces(docs, path or vocabulary()))
     total = made.agg(F.sum("length")).first()[0] or 0
     groups = max(1, round(total / GROUP_TOKENS))
-    dealt = made.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "spread"), F.lit(groups)))
-    return dealt.groupBy("group").applyInPandas(_pack_group, PACKED)
+    dealt = made.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
+    return dealt.groupBy("group").applyInArrow(_pack_group, PACKED)

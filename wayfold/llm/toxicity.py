@@ -2,15 +2,17 @@
 
 P(grade <= j) = sigmoid(theta_j - w.x) with one weight vector shared by all ordered thresholds
 theta_0 < theta_1 < theta_2. The grades are 0 (clean) and 1 to 3 (mild, marked, severe). The labels
-say only toxic or not, so the toxic training rows are graded by how many distinct features of
-strong evidence they hold, cut at the terciles. Features are sparse and binary: each distinct
-lower-cased word of letters and its prefixes; those
-that explain toxic rows are chosen and weights never go below zero. Scores: the expected grade, P(grade >= 1), and
-the prediction toxic where that is at least 0.5.
+say only toxic or not; a toxic training row is graded by the evidence that a two-grade model fitted
+on the other half of the rows finds in it, cut at the terciles, so no row's grade comes from weights
+that the row itself has shaped. Features are sparse and binary: each distinct lower-cased word of
+letters, and its beginnings of ``PREFIXES`` letters. Every feature that ``SUPPORT`` toxic rows share
+and that is ``RATIO`` times as common in toxic rows as in clean ones takes part, however many these
+are; the L1 penalty alone chooses among them, and weights never go below zero. Scores: the expected grade, P(grade >= 1), and the prediction
+toxic where that is at least 0.5.
 
 Null or empty text: no features, scored by the thresholds alone. Null doc_id: scored, never held
-out. Repeated rows each return their row. No usable label of both kinds: every row is clean. Other
-columns are not read.
+out. Repeated rows each return their row; in fitting, rows of equal features count once. No usable
+label of both kinds: every row is clean. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,13 +28,16 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.arrowtools import held_out, map_rows, texts_per_batch
 from wayfold.llm.labelled import sample
+from wayfold.session import Scratch
 
 LETTERS = re.compile(r"[^\W\d_]+")
+#: What a feature is: a word, or a word's beginning of so many letters.
 PREFIXES = range(3, 9)
 GRADES = 3
-#: Labelled rows used to fit, at most; features kept for the regression, at most.
-MAX_TRAIN, MAX_FEATURES = 8000, 500
-COVERS, SUPPORT, MIN_ODDS = 3, 5, 2.0
+#: Labelled rows used to fit, at most.
+MAX_TRAIN = 8000
+#: Toxic rows that must share a feature, how much commoner it must be in these, and the L1 penalty on weights.
+SUPPORT, RATIO, PENALTY = 5, 3.0, 1e-4
 PIECE = 1 << 20
 
 
@@ -79,114 +84,114 @@ class Ordinal:
         return 1 - _sigmoid(np.array(self.thresholds) - self.linear(text))
 
 
-def _select(ids: np.ndarray, rows: dict[int, np.ndarray], clean: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features chosen greedily for the toxic ``rows`` they explain, with their log odds.
-
-    ``clean`` counts the clean rows of each feature and ``size`` all of them. A row counts until
-    ``COVERS`` features explain it, near copies count once, and of a word and its prefixes one is
-    chosen. A feature needs ``SUPPORT`` rows that still count and few clean ones.
-    """
-    copies: dict[tuple, int] = {}
-    for i, mine in rows.items():
-        copies.setdefault(tuple(sorted(crc32(ids[k].encode("utf-8", "surrogatepass")) for k in mine)[:4]), i)
-    n_first = len(copies)
-    first = np.ones(n_first, bool)
-    c = np.concatenate([rows[i] for i in copies.values()])
-    r = np.repeat(np.arange(n_first, dtype=np.int32), [len(rows[i]) for i in copies.values()])
-    by = np.argsort(c, kind="stable").astype(np.int32)
-    where = np.searchsorted(c[by], np.arange(len(ids) + 1))
-    base = np.log((0.5 + clean) / (1 + size))
-    left = np.where(first, COVERS, 0)
-    alive = where[1:] - where[:-1] >= SUPPORT
-    picked, odds = [], []
-    while len(picked) < MAX_FEATURES:
-        n = np.bincount(c, left[r] > 0, minlength=len(ids))
-        gain = np.where(alive & (n >= SUPPORT) & (clean < n), n * (np.log((n + 0.5) / (1 + first.sum())) - base), 0)
-        k = int(np.argmax(gain))
-        if gain[k] <= 0 or gain[k] / n[k] < MIN_ODDS:
-            break
-        whole = where[k + 1] - where[k]
-        picked.append(k)
-        odds.append(float(np.log((whole + 0.5) / (1 + first.sum())) - base[k]))
-        left[r[by[where[k] : where[k + 1]]]] -= 1
-        stem = ids[k].lstrip("^")
-        alive &= np.array([not (x.startswith(stem) or stem.startswith(x)) for x in (i.lstrip("^") for i in ids)])
-    order = np.argsort(picked)
-    return np.array(picked, int)[order], np.array(odds)[order]
-
-
-def fit_rows(rows: pa.ListArray, toxic: np.ndarray, steps: int = 300, penalty: float = 1e-4) -> Ordinal:
-    """Proximal gradient with Adam scaling on the cumulative-link likelihood; rows hold distinct words.
-
-    Words stay dictionary codes, only features met in toxic rows are numbered, and clean rows are
-    held as counts of these, so that memory grows with distinct words and not with their uses.
-    """
-    if not len(toxic) or toxic.min() == toxic.max():
-        return Ordinal({}, [20.0 + j for j in range(GRADES)])
-    coded = rows.flatten().dictionary_encode()
-    ends = np.cumsum(rows.value_lengths().to_numpy(zero_copy_only=False))
-    codes = np.split(coded.indices.to_numpy(), ends[:-1])
-    ill = np.flatnonzero(toxic == 1)
-    met = np.zeros(len(coded.dictionary), bool)
-    for i in ill:
-        met[codes[i]] = True
-    wanted = {x for k in np.flatnonzero(met) for x in parts(coded.dictionary[k].as_py())}
-    numbers: dict[str, int] = {}
-    of = [np.array([numbers.setdefault(x, len(numbers)) for x in parts(w.as_py()) if x in wanted], np.int32) for w in coded.dictionary]
-    del wanted, coded
-
-    def slots(i: int) -> np.ndarray:
-        return np.unique(np.concatenate([of[k] for k in codes[i]])) if len(codes[i]) else np.zeros(0, np.int32)
-
-    ids, clean = np.array(list(numbers), object), np.zeros(len(numbers), np.int64)
-    del numbers
-    for i in np.flatnonzero(toxic == 0):
-        clean[slots(i)] += 1
-    keep, odds = _select(ids, {i: slots(i) for i in ill}, clean, len(toxic) - len(ill))
-    column = np.full(len(ids), -1, np.int32)
-    column[keep] = np.arange(len(keep))
-    found = [(x := column[slots(i)])[x >= 0] for i in range(len(rows))]
-    evidence = np.array([len(x) for x in found])
-    cuts = np.quantile(evidence[toxic == 1], [1 / 3, 2 / 3])
-    grade = np.where(toxic == 1, 1 + (evidence > cuts[0]) + (evidence > cuts[1]), 0).astype(int)
-    r, c = np.repeat(np.arange(len(rows)), evidence), np.concatenate(found)
-    mid = float(np.median(odds)) if len(odds) else 2.0
-    w, theta = odds.copy(), mid * np.array([0.6, max(1.5, cuts[0] + 0.5), max(2.5, cuts[1] + 0.5)])
-    at = np.arange(len(rows))
-    m, v, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros(GRADES), np.zeros(GRADES)
+@dataclass
+class Rows:
+    """Binary features of rows in coordinate form: ``row[i]`` has feature ``column[i]``."""
+
+    row: np.ndarray
+    column: np.ndarray
+    n_rows: int
+    n_columns: int
+
+    def take(self, rows: np.ndarray) -> Rows:
+        """The rows where ``rows`` holds, in their order."""
+        number = np.cumsum(rows) - 1
+        mine = rows[self.row]
+        return Rows(number[self.row[mine]], self.column[mine], int(rows.sum()), self.n_columns)
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.column], minlength=self.n_rows)
+
+
+def loss_and_gradient(rows: Rows, grade: np.ndarray, w: np.ndarray, theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log likelihood of the grades, and its gradient in the weights and the thresholds."""
+    n, grades = rows.n_rows, len(theta)
+    at, f = np.arange(n), rows.scores(w)
+    below = np.concatenate([np.zeros((n, 1)), _sigmoid(theta[None] - f[:, None]), np.ones((n, 1))], 1)
+    slope = below * (1 - below)
+    like = np.maximum(below[at, grade + 1] - below[at, grade], 1e-12)
+    by_score = (slope[at, grade + 1] - slope[at, grade]) / like / n
+    by_theta = np.array([((grade == j + 1) * slope[:, j + 1] / like - (grade == j) * slope[:, j + 1] / like).sum() / n for j in range(grades)])
+    return float(-np.log(like).mean()), np.bincount(rows.column, by_score[rows.row], minlength=rows.n_columns), by_theta
+
+
+def fit_grades(rows: Rows, grade: np.ndarray, grades: int, steps: int = 600, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
+    """Weights >= 0 and ordered thresholds by proximal gradient with Adam scaling."""
+    over = [max(1e-3, min(1 - 1e-3, float((grade > j).mean()))) for j in range(grades)]
+    w, theta = np.zeros(rows.n_columns), np.array([np.log((1 - p) / p) for p in over]) + 1e-3 * np.arange(grades)
+    m, v, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros(grades), np.zeros(grades)
     for t in range(1, steps + 1):
-        f = np.bincount(r, w[c], minlength=len(rows))
-        cum = np.concatenate([np.zeros((len(rows), 1)), _sigmoid(theta[None] - f[:, None]), np.ones((len(rows), 1))], 1)
-        slope = cum * (1 - cum)
-        like = np.maximum(cum[at, grade + 1] - cum[at, grade], 1e-9)
-        df = (slope[at, grade + 1] - slope[at, grade]) / like / len(rows)
-        dt = np.zeros(GRADES)
-        for j in range(GRADES):
-            dt[j] = (-(slope[:, j + 1] / like)[grade == j].sum() + (slope[:, j + 1] / like)[grade == j + 1].sum()) / len(rows)
-        g = np.bincount(c, df[r], minlength=len(w))
+        _, g, dt = loss_and_gradient(rows, grade, w, theta)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mt, vt = 0.9 * mt + 0.1 * dt, 0.99 * vt + 0.01 * dt * dt
         rate = 0.05 * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
         scale = rate / (np.sqrt(v) + 1e-4)
-        w = w - scale * m
-        w = np.maximum(w - scale * penalty, 0)  # evidence only ever adds severity
+        w = np.maximum(w - scale * (m + penalty), 0)  # evidence only ever adds severity
         theta = np.sort(theta - rate * mt / (np.sqrt(vt) + 1e-4))
-        theta = np.maximum.accumulate(theta + 1e-3 * np.arange(GRADES))
-    return Ordinal({ids[k]: float(x) for k, x in zip(keep, w, strict=True) if abs(x) > 1e-3}, theta.tolist())
+        theta = np.maximum.accumulate(theta + 1e-3 * np.arange(grades))
+    return w, theta
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Ordinal:
-    """Fit on at most ``max_rows`` labelled rows outside the held-out fold; the driver gets the distinct words of each."""
-    known = sample(docs, labels, "toxic", ["text"], max_rows)
+def graded(rows: Rows, toxic: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """0 for clean rows; 1 to 3 for toxic ones, by what the model of the other half finds in them."""
+    evidence = np.zeros(rows.n_rows)
+    for side in (0, 1):
+        mine, others = half == side, half != side
+        if mine.any() and others.any():
+            w, _ = fit_grades(rows.take(others), toxic[others], 1, steps=300)
+            evidence[mine] = rows.take(mine).scores(w)
+    low, high = np.quantile(evidence[toxic == 1], [1 / 3, 2 / 3])
+    return np.where(toxic == 1, 1 + (evidence > low) + (evidence > high), 0).astype(int)
+
+
+def fit_rows(rows: Rows, names: list[str], toxic: np.ndarray, half: np.ndarray) -> Ordinal:
+    """Fit on rows of numbered features; ``half`` (0 or 1) deals the rows to two halves for grading."""
+    toxic = np.asarray(toxic).astype(int)
+    if not len(toxic) or toxic.min() == toxic.max():
+        return Ordinal({}, [20.0 + j for j in range(GRADES)])
+    w, theta = fit_grades(rows, graded(rows, toxic, half), GRADES)
+    return Ordinal({names[k]: float(w[k]) for k in np.flatnonzero(w)}, theta.tolist())
+
+
+def _features(known: DataFrame) -> DataFrame:
+    """(id, y, features): the distinct features of each row, rows of equal features and label once."""
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sorted(words(t)) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))], ["doc_id", "y", "words"])
+            found = [sorted({x for w in words(t) for x in parts(w)}) for t in batch.column(2).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], ["id", "y", "features"])
 
         return one
 
-    got = map_rows(known, ["doc_id", "y", F.col("text").cast("string")], make, "doc_id long, y int, words array<string>").toArrow().sort_by("doc_id")
-    return fit_rows(got.column("words").combine_chunks(), got.column("y").to_numpy().astype(np.float64))
+    rows = map_rows(known, ["doc_id", "y", F.col("text").cast("string")], make, "id long, y int, features array<string>")
+    return rows.groupBy("y", "features").agg(F.min("id").alias("id"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Ordinal:
+    """Fit on at most ``max_rows`` labelled rows outside the held-out fold.
+
+    Features are counted in Spark; the driver gets those that take part, and the numbers of these that each
+    row has.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.keep(_features(sample(docs, labels, "toxic", ["text"], max_rows)))
+    totals = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("ill")).first()
+    n, ill = totals["n"], totals["ill"]
+    if not 0 < ill < n:
+        return fit_rows(Rows(np.zeros(0, int), np.zeros(0, int), n, 0), [], np.full(n, int(ill > 0)), np.zeros(n))
+    each = rows.select("id", "y", F.explode("features").alias("name"))
+    counts = each.groupBy("name").agg(F.sum("y").alias("ill"), F.count("*").alias("all"))
+    chosen = counts.where((F.col("ill") >= SUPPORT) & ((F.col("ill") + 0.5) / (ill + 1) > RATIO * (F.col("all") - F.col("ill") + 0.5) / (n - ill + 1)))
+    chosen = scratch.keep(chosen.select("name"))
+    names = sorted(r["name"] for r in chosen.collect())
+    met = each.join(F.broadcast(chosen), "name").groupBy("id").agg(F.sort_array(F.collect_list("name")).alias("names"))
+    got = rows.select("id", "y").join(met, "id", "left").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
+    number = {x: k for k, x in enumerate(names)}
+    lists = [x or [] for x in got.column("names").to_pylist()]
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    column = np.array([number[x] for mine in lists for x in mine], int)
+    half = np.array([crc32(str(i).encode()) >> 8 & 1 for i in got.column("id").to_pylist()])
+    return fit_rows(Rows(row, column, len(lists), len(names)), names, got.column("y").to_numpy(), half)
 
 
 def score(docs: DataFrame, model: Ordinal) -> DataFrame:
