@@ -6,10 +6,11 @@ closures that render a conversation as text with the spans of its generation blo
 The language is sandboxed: no attributes but message fields, no calls but the filters listed here,
 no imports, no assignment, loops only over the messages.
 
-    text {{ expression }} {% for m in messages %} ... {% endfor %}
+    text {{ expression }} {% for m in messages %} ... {% endfor %} {# a note #}
     {% if e %} ... {% elif e %} ... {% else %} ... {% endif %} {% generation %} ... {% endgeneration %}
     expressions: 'text', 12, true, false, m.field, m['field'], loop.first, loop.last, loop.index,
     and or not, == != < <= > >= in, + ~, x | filter, (e)
+    a hyphen inside a tag's end ({%- ... -%}, {{- ... -}}) trims the white space of the text beside it
 
 The standard template marks turns with control strings. Texts pass the ``escape`` filter, which puts
 one more backslash between "<" and "|" wherever only backslashes stand there already or nothing:
@@ -64,7 +65,13 @@ FILTERS: dict[str, Callable[[str], str]] = {"escape": escape, "header": header,
 
 # --- syntax tree: tuples (kind, ...) ---------------------------------------------------------------
 
-TAGS = re.compile(r"\{\{(.*?)\}\}|\{%-?\s*(.*?)\s*-?%\}|\{#.*?#\}", re.S)
+_STRING = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+TAGS = re.compile(
+    r"\{\{(?P<put_l>-?)(?P<put>(?:[^'\"}]|" + _STRING + r"|\}(?!\}))*?)(?P<put_r>-?)\}\}"
+    r"|\{%(?P<tag_l>-?)\s*(?P<tag>(?:[^'\"%]|" + _STRING + r"|%(?!\}))*?)\s*(?P<tag_r>-?)%\}"
+    r"|\{#(?P<note_l>-?).*?(?P<note_r>-?)#\}",
+    re.S,
+)
 LEXEME = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(\d+)|([A-Za-z_]\w*)|(==|!=|<=|>=|[<>+~|().\[\]]))")
 
 
@@ -162,19 +169,25 @@ def parse(template: str) -> tuple:
     frames: list[tuple[str, list, list]] = []  # (kind, parts of the enclosing block, branches)
     at = 0
 
-    def text(piece: str) -> None:
+    trimmed = False
+
+    def text(piece: str, trim: bool) -> None:
+        piece = piece.lstrip() if trimmed else piece
+        piece = piece.rstrip() if trim else piece
+        if "{{" in piece or "{%" in piece:
+            raise TemplateError("a tag is not closed")
         if piece:
             parts.append(("text", piece))
 
     for m in TAGS.finditer(template):
-        text(template[at : m.start()])
-        at = m.end()
-        if m[1] is not None:
-            parts.append(("put", _Expression(m[1]).whole()))
+        text(template[at : m.start()], bool(m["put_l"] or m["tag_l"] or m["note_l"]))
+        at, trimmed = m.end(), bool(m["put_r"] or m["tag_r"] or m["note_r"])
+        if m["put"] is not None:
+            parts.append(("put", _Expression(m["put"]).whole()))
             continue
-        if m[2] is None:
+        if m["tag"] is None:
             continue
-        word, _, rest = m[2].partition(" ")
+        word, _, rest = m["tag"].partition(" ")
         if word == "for":
             loop = re.fullmatch(r"\s*([A-Za-z_]\w*)\s+in\s+messages\s*", rest)
             if not loop:
@@ -203,7 +216,7 @@ def parse(template: str) -> tuple:
             parts = outer
         else:
             raise TemplateError(f"no tag {word!r}")
-    text(template[at:])
+    text(template[at:], False)
     if frames:
         raise TemplateError(f"{frames[-1][0]} is not closed")
     return ("block", parts)
@@ -219,18 +232,31 @@ def _shown(x) -> str:
     return "" if x is None else x if isinstance(x, str) else str(x)
 
 
+def _folded(tree: tuple, *inner: tuple) -> tuple:
+    """An expression's constant by the very closure that would render it, if all inside it is constant."""
+    if any(x[0] != "constant" for x in inner):
+        return tree
+    try:
+        return ("constant", _value(tree)({}))
+    except Exception:  # noqa: BLE001 - an error belongs to rendering
+        return tree
+
+
 def fold(tree: tuple) -> tuple:
-    """Constants folded: expressions of constants, branches never or always taken, neighbouring texts."""
+    """Constants folded: expressions of constants, branches never or always taken, neighbouring texts.
+
+    What fails to fold stays as it is and fails where it is rendered, if it is.
+    """
     kind = tree[0]
     if kind == "filter":
         inner = fold(tree[2])
-        return ("constant", FILTERS[tree[1]](inner[1])) if inner[0] == "constant" else ("filter", tree[1], inner)
+        return _folded(("filter", tree[1], inner), inner)
     if kind == "not":
         inner = fold(tree[1])
-        return ("constant", not inner[1]) if inner[0] == "constant" else ("not", inner)
+        return _folded(("not", inner), inner)
     if kind in BINARY:
         a, b = fold(tree[1]), fold(tree[2])
-        return ("constant", BINARY[kind](a[1], b[1])) if a[0] == b[0] == "constant" else (kind, a, b)
+        return _folded((kind, a, b), a, b)
     if kind == "put":
         inner = fold(tree[1])
         return ("text", _shown(inner[1])) if inner[0] == "constant" else ("put", inner)
@@ -441,8 +467,11 @@ def digests(formatted: DataFrame) -> DataFrame:
     return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def with_probe(rows: DataFrame) -> DataFrame:
-    """The conversations and number -1, whose texts are control strings."""
-    probe = rows.sparkSession.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
-    kept = rows.select(*(F.col(c).cast(t).alias(c) for c, t in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))))
-    return kept.unionByName(probe)
+def probe(rows: DataFrame) -> DataFrame:
+    """Conversation -1, whose texts are control strings."""
+    return rows.sparkSession.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+
+
+def format_with_probe(rows: DataFrame) -> DataFrame:
+    """The formatted conversations, and the probe as one more, apart from any conversation -1 among ``rows``."""
+    return format_conversations(rows).unionByName(format_conversations(probe(rows)))

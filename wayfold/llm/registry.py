@@ -38,7 +38,7 @@ def op7_packing_tiers(spark, sf_dir):
 
 
 def op8_chat_template(spark, sf_dir):
-    return chat.digests(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))))
+    return chat.digests(chat.format_with_probe(table(spark, sf_dir, "conversations")))
 
 
 def op9_toxicity_ordinal(spark, sf_dir):
