@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 import public_tokenizers
-from wayfold.llm import quality, simhash, toxicity
+from wayfold.llm import decontaminate, quality, simhash, toxicity
 
 
 def words(text):
@@ -71,13 +71,46 @@ def test_pipeline(spark, sf, tmp_path):
 
 def test_without_ids(spark):
     rows = [(None, "a", 1), (1, None, 2), (1, "b", 3), (2, "c", 4), (3, "", 5), (-7, "d", 6)]
-    docs = spark.createDataFrame(rows, "doc_id long, _bits string, _page int")
-    gone = spark.createDataFrame([(1,), (-7,), (99,)], "_id long")
-    kept = simhash.without(docs, gone)
-    assert kept.columns == docs.columns
-    assert sorted(r[2] for r in kept.collect()) == [1, 4, 5]
-    assert sorted(r[2] for r in simhash.without(docs, gone.limit(0)).collect()) == [1, 2, 3, 4, 5, 6]
-    assert simhash.without(docs.limit(0), gone).count() == 0
+    docs = simhash._rows(spark.createDataFrame(rows, "doc_id long, text string, n int"))
+    gone = spark.createDataFrame([(1,), (-7,), (99,)], "gone_id long")
+    left = lambda d, g: sorted(r.row.n for r in simhash.without(d, g).collect())
+    assert left(docs, gone) == [1, 4, 5]
+    assert left(docs, gone.limit(0)) == [1, 2, 3, 4, 5, 6]
+    assert left(docs.limit(0), gone) == []
+
+
+ODD_NAMES = ["_id", "_first", "my col", "a.b", "row", "slot", "items", "spans", "gone_id", "fp", "changed", "tick`s"]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    a, b = (" ".join(f"{w}{k}" for k in range(60)) for w in "ab")
+    rows = [(5, a), (5, b), (3, b), (7, "w1 w2 w3 w4 w5 w6 w7 w8 w9 and more"), (8, None), (None, "x"), (9, "")]
+    columns = ", ".join("`" + n.replace("`", "``") + "` int" for n in ODD_NAMES)
+    docs = spark.createDataFrame([(i, t, None, *range(len(ODD_NAMES))) for i, t in rows], f"doc_id long, text string, n_chars int, {columns}")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and {tuple(r)[3:] for r in kept.collect()} == {tuple(range(len(ODD_NAMES)))}
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(0, "x"), (3, b), (5, a), (7, rows[3][1]), (8, "")])
+    bench = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6 w7 w8")], "item_id long, text string")
+    clean = decontaminate.clean(docs, bench)
+    assert clean.columns == docs.columns and clean.count() == len(rows)
+    cut = clean.where("doc_id = 7").first()
+    assert (cut.text, cut.n_chars) == (" w9 and more", 12)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for stage in (lambda d: quality.keep_good(d, quality.fit(docs, labels)), lambda d: toxicity.keep_clean(d, toxicity.fit(docs, labels)), simhash.keep_one, lambda d: decontaminate.clean(d, bench)):
+        none = stage(docs.limit(0))
+        assert none.columns == docs.columns and none.count() == 0
+    assert corpus_pipeline.packing.pack_documents(docs.limit(0)).count() == 0
+
+
+def test_run(spark, sf):
+    got = corpus_pipeline.run(spark, sf).toPandas()
+    now = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, sf)
+    want = now.toPandas()
+    key = ["doc_id", "start", "length", "doc_tokens"]
+    assert len(got) == len(want) and set(got.doc_id) == set(want.doc_id)
+    assert got.groupby("doc_id").length.sum().equals(want.groupby("doc_id").length.sum()) and not got[key].duplicated().any()
 
 
 def test_keep_one_by_row(spark):

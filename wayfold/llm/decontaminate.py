@@ -173,7 +173,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, extra: list[str] = (), width: in
 
             return one
 
-        now = map_rows(now, now.columns, make, now.schema.simpleString()[7:-1])
+        now = map_rows(now, now.columns, make, now.schema)
     return now
 
 
@@ -201,12 +201,16 @@ def cut(text: str, spans: list[int]) -> str:
     return b"".join(out).decode("utf-8", "surrogatepass")
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_items: int = MIN_ITEMS) -> DataFrame:
     """``docs`` without contaminated rows; single passages of the benchmark are cut out of the rows that stay.
 
     Columns stay as they are, but for the text of cut rows and their n_chars.
     """
-    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    found = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col("text"))
     kept = hits(found, benchmark, ["row"], width).where(F.size("items") < min_items)
 
     @F.pandas_udf("string")
@@ -222,5 +226,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_items:
         elif c == "n_chars":
             out.append(F.when(F.col("changed"), F.length("new_text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType).alias(c))
         else:
-            out.append(F.col(f"row.`{c}`").alias(c))
+            out.append(F.col("row." + quoted(c)).alias(c))
     return kept.select(*out)

@@ -3,14 +3,17 @@
 Rows lie in old shards; the new shards have capacities. A min-cost flow from the old shards' bytes
 to the new capacities, at the cost of the bytes that change shard (or any cost per pair given), says
 how many bytes go from where to where: what can stay stays, so the fewest bytes move. The flow is
-carried out in blocks, hashed parts of an old shard of about ``BLOCK_BYTES``: whole blocks go as one
+carried out in blocks, hashed parts of the old shards that are equal in bytes (``BLOCK_BYTES`` at most,
+while there are no more than ``MAX_BLOCKS``), the more of them the larger a shard: whole blocks go as one
 transfer, and the few blocks on the border of two transfers are cut between rows. This leaves a shard
-off by up to half of the row at each of its cuts. A last repair moves rows out of the border blocks,
-the largest that fit first: of each shard some of every order of size and the smallest. What it leaves
+off by up to half of the row at each of its cuts. A last repair moves rows out of the border blocks and
+one whole block of each shard, the largest that fit first: of each shard some of every order of size
+and the smallest. What it leaves
 depends on the rows there: without any that fit the gap, the bound of the cuts stands.
 
 The driver sees the shards and the sums of at most ``MAX_BLOCKS`` blocks, never rows in proportion to
-the table. Rows are numbered in two steps, block by block, so a hot source is spread over its blocks.
+the table. Rows are numbered in two steps, block by block, so a hot source, or a crowd of equal rows,
+is spread over its blocks.
 
 Size of a row: UTF-8 bytes of its text (null: none) plus 1. Null doc_id: placed by its text's hash.
 Repeated rows each get a place. Null source: a source of its own. Empty table: no rows. Other columns
@@ -20,8 +23,9 @@ are not read. All shards may be empty.
 from __future__ import annotations
 
 import heapq
-import uuid
+import json
 from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,10 +148,13 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, shards: int = 1
     scratch = Scratch(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), old_shard.cast("int").alias("old"))
-    sized = scratch.keep(sized.withColumn("spread", F.xxhash64("doc_id", "text_crc32")))
-    total = sized.agg(F.sum("size")).first()[0] or 0
-    fine = min(max(LEAST_BLOCKS, -(-total // BLOCK_BYTES)), MAX_BLOCKS // old_shards)
-    rows = sized.withColumn("block", F.pmod("spread", F.lit(fine)).cast("int"))
+    # Written with a number of its own, so that rows alike in all else are spread over the blocks too.
+    sized = scratch.keep(sized.withColumn("spread", F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id())))
+    held = {r["old"]: r["size"] for r in sized.groupBy("old").agg(F.sum("size").alias("size")).collect()}
+    total = sum(held.values())
+    each = max(1, -(-total // (MAX_BLOCKS // 2)), min(BLOCK_BYTES, total // (LEAST_BLOCKS * old_shards)))
+    fine = F.array(*[F.lit(max(1, -(-held.get(i, 0) // each))) for i in range(old_shards)])
+    rows = sized.withColumn("block", F.pmod("spread", F.get(fine, F.col("old"))).cast("int"))
     blocks = [(r["old"], r["block"], r["size"]) for r in rows.groupBy("old", "block").agg(F.sum("size").alias("size")).collect()]
     if not blocks:
         blocks, total = [(0, 0, 0)], 0
@@ -156,19 +163,25 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, shards: int = 1
         supply[old] += size
     capacities = capacities or [total // shards + (j < total % shards) for j in range(shards)]
     flow = min_cost_flow(supply, capacities, cost or (lambda i, j: int(i != j)))
-    plan = [(o, b, s, [{"upto": u, "shard": j} for u, j in cuts] or [{"upto": 1, "shard": 0}]) for o, b, s, cuts in plan_cuts(blocks, flow)]
-    schema = "old int, block int, start long, cuts array<struct<upto:long,shard:int>>"
+    cut = plan_cuts(blocks, flow)
+    spare = {}  # a whole block of each shard, of which rows may move as they may out of the border blocks
+    for o, b, _, cuts in cut:
+        if len(cuts) == 1:
+            spare.setdefault(cuts[0][1], (o, b))
+    spared = set(spare.values())
+    plan = [(o, b, s, [{"upto": u, "shard": j} for u, j in cuts] or [{"upto": 1, "shard": 0}], len(cuts) > 1 or (o, b) in spared) for o, b, s, cuts in cut]
+    schema = "old int, block int, start long, cuts array<struct<upto:long,shard:int>>, border boolean"
     planned = F.broadcast(spark.createDataFrame(plan, schema))  # MAX_BLOCKS rows at most
     order = Window.partitionBy("old", "block").orderBy("spread", "doc_id", "size")
     mid = F.col("start") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2
     into = F.coalesce(F.get(F.filter("cuts", lambda c: c["upto"] > F.col("mid")), F.lit(0))["shard"], F.element_at("cuts", -1)["shard"])
-    placed = rows.join(planned, ["old", "block"]).withColumn("mid", mid).withColumn("shard", into).withColumn("border", F.size("cuts") > 1)
+    placed = rows.join(planned, ["old", "block"]).withColumn("mid", mid).withColumn("shard", into)
     placed = scratch.keep(placed.select("doc_id", "size", "text_crc32", "old", "block", "spread", "shard", "border"))
 
     loads = [0] * shards
     for r in placed.groupBy("shard").agg(F.sum("size").alias("size")).collect():
         loads[r["shard"]] = r["size"]
-    # A bounded number of rows of each shard's border blocks, of graded sizes, told apart by all they are placed by.
+    # A bounded number of rows of each shard's border and spare blocks, of graded sizes, told apart by all they are placed by.
     alike = ["old", "block", "shard", "spread", "doc_id", "size", "text_crc32"]
     few = Window.partitionBy("shard").orderBy("size", "spread", "doc_id")
     border = placed.where("border and doc_id is not null").groupBy(alike).count().where("count = 1").select(*alike)
@@ -199,38 +212,48 @@ def by_source(shards: int, column: str = "source") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(shards)).cast("int")
 
 
-def rewrite(docs: DataFrame, old_shard: Column, placed: DataFrame, target: str) -> list[int]:
-    """Rewrite the affected shards below ``target`` (shard=N folders): those that a row enters or leaves.
+def rewrite(docs: DataFrame, old_shard: Column, placed: DataFrame, layout: dict[int, str], target: str) -> dict[int, str]:
+    """Write the affected shards, those that a row enters or leaves, as a new version of a table of shards.
 
-    ``docs`` and ``old_shard`` are what ``placed`` was made from by ``reshard``; ``docs`` may be read from
-    ``target``, which holds the old layout. All its columns are written, but for one named shard, which
-    gives way to the new number. Rows are matched by doc_id (null too), size, text and old shard; those
-    alike in all these are numbered on both sides, so each gets one place. The files are written beside
-    the old ones first, in a folder that readers skip, then take their place one by one; shards that
-    lost all rows go. Shards that keep exactly their rows are not touched. Returns the affected ones.
+    ``layout`` gives the folder of each old shard; ``docs`` and ``old_shard`` are what ``placed`` was made
+    from by ``reshard``. The new shards are written below ``target``, which must not exist yet; no old
+    file is touched, so readers of the old version go on. Last of all, ``target/manifest.json`` says
+    where every shard of the new version lies: shards that keep exactly their rows in their old
+    folders, the rewritten ones in new folders, and shards that lost all rows nowhere. A run that dies
+    leaves no manifest. Returns what the manifest says.
+
+    All columns are written, but for one named shard, which gives way to the new number. Rows are matched
+    by doc_id (null too), size, text and old shard; those alike in all these are numbered on both sides,
+    so each gets one place.
     """
     flows = placed.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct()
     affected = sorted(r["shard"] for r in flows.collect())  # shard numbers: bounded
-    if not affected:
-        return []
-    spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = ["_id", "_size", "_crc", "_old"]
-    columns = [c for c in docs.columns if c.lower() != "shard"]
-    mine = docs.select(F.col("doc_id").cast("long").alias("_id"), (F.octet_length(text) + 1).cast("long").alias("_size"), F.crc32(text.cast("binary")).alias("_crc"), old_shard.cast("int").alias("_old"), *columns)
-    mine = mine.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(*columns))))
+    columns = [f"`{c}`" for c in docs.columns if c.lower() != "shard"]
+    row = F.struct(*columns).alias("_row")
+    mine = docs.select(F.col("doc_id").cast("long").alias("_id"), (F.octet_length(text) + 1).cast("long").alias("_size"), F.crc32(text.cast("binary")).alias("_crc"), old_shard.cast("int").alias("_old"), row)
+    mine = mine.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("_row"))))
     theirs = placed.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), F.col("old_shard").alias("_old"), F.col("shard").alias("_to"), "slot")
     theirs = theirs.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("_to", "slot"))).where(F.col("_to").isin(affected)).drop("slot")
     same = F.lit(True)
     for c in [*key, "_n"]:
         same = same & mine[c].eqNullSafe(theirs[c])
-    staged = f"{target.rstrip('/')}/_rewrite-{uuid.uuid4().hex}"
-    mine.join(theirs, same).select(*columns, theirs["_to"].alias("shard")).write.partitionBy("shard").parquet(staged)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = path(staged).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for n in affected:
-        fs.delete(path(f"{target}/shard={n}"), True)
-        if fs.exists(path(f"{staged}/shard={n}")) and not fs.rename(path(f"{staged}/shard={n}"), path(f"{target}/shard={n}")):
-            raise OSError(f"shard {n} could not be moved from {staged}")
-    fs.delete(path(staged), True)
-    return affected
+    target = target.rstrip("/")
+    mine.join(theirs, same).select("_row.*", theirs["_to"].alias("shard")).write.partitionBy("shard").parquet(target)
+    jvm, conf = docs.sparkSession.sparkContext._jvm, docs.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(conf)
+    manifest = {n: folder for n, folder in layout.items() if n not in affected}
+    manifest |= {n: f"{target}/shard={n}" for n in affected if fs.exists(path(f"{target}/shard={n}"))}
+    out = fs.create(path(f"{target}/manifest.json.tmp"), True)
+    out.write(bytearray(json.dumps({str(n): manifest[n] for n in sorted(manifest)}).encode()))
+    out.close()
+    fs.rename(path(f"{target}/manifest.json.tmp"), path(f"{target}/manifest.json"))
+    return manifest
+
+
+def read_layout(spark, manifest: dict[int, str]) -> DataFrame:
+    """The rows of all shards of a manifest, with their shard."""
+    parts = [spark.read.parquet(folder).withColumn("shard", F.lit(n)) for n, folder in sorted(manifest.items())]
+    return reduce(DataFrame.unionByName, parts)

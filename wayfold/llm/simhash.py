@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm.arrowtools import map_rows, texts_per_batch
@@ -284,22 +284,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not among the distinct ids ``_id`` of ``gone``.
+def _rows(docs: DataFrame) -> DataFrame:
+    """(row, id): whole rows as one struct, whatever their columns are called."""
+    return docs.select(F.struct(*[F.col(_quoted(c)) for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows (row, id) whose id is not among the distinct ids ``gone_id`` of ``gone``.
 
     The ids set bits of a hashed bitmap of ``MARKS`` bits, ``MARKS / 8`` bytes at every input size, which
     alone is broadcast. Rows on a bit that is not set stay where they are; only the others, whole
     texts included, are dealt out for the exact join.
     """
     slot = lambda x: F.pmod(F.xxhash64(F.lit(0), x), F.lit(MARKS))
-    marks = gone.select(slot(F.col("_id")).alias("_slot")).groupBy(F.floor(F.col("_slot") / PAGE).alias("_page")).agg(F.bitmap_construct_agg(F.col("_slot") % PAGE).alias("_bits"))
-    here = slot(docs["doc_id"].cast("long"))
-    byte = F.conv(F.hex(F.substring(marks["_bits"], (F.floor(here % PAGE / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    marked = F.coalesce(F.getbit(byte, (here % 8).cast("int")) == 1, F.lit(False))
-    rows = docs.join(F.broadcast(marks), F.floor(here / PAGE) == marks["_page"], "left")
-    own = [docs[c] for c in docs.columns]
-    doubted = rows.where(marked).select(*own)
-    return rows.where(~marked).select(*own).unionByName(doubted.join(gone, doubted["doc_id"].cast("long") == gone["_id"], "left_anti"))
+    marks = gone.select(slot(F.col("gone_id")).alias("slot")).groupBy(F.floor(F.col("slot") / PAGE).alias("page")).agg(F.bitmap_construct_agg(F.col("slot") % PAGE).alias("bits"))
+    rows = rows.withColumn("slot", slot(F.col("id")))
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(F.col("slot") % PAGE / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = F.coalesce(F.getbit(byte, (F.col("slot") % 8).cast("int")) == 1, F.lit(False)) & F.col("id").isNotNull()
+    rows = rows.join(F.broadcast(marks), F.floor(F.col("slot") / PAGE) == F.col("page"), "left").select("row", "id", marked.alias("marked"))
+    doubted = rows.where("marked").select("row", "id")
+    return rows.where("not marked").select("row", "id").unionByName(doubted.join(gone, F.col("id") == F.col("gone_id"), "left_anti"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -307,7 +315,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Components are of fingerprints here, so unlike texts of one doc_id are of different ones. Of each, a
     row of the smallest doc_id stays; where several rows of it are alike, the first by text. Rows of a
-    null doc_id stay.
+    null doc_id stay. Columns of any name are kept as they are.
     """
     scratch = Scratch(docs.sparkSession)
     fps = scratch.keep(fingerprints(docs).where("doc_id is not null"))
@@ -317,20 +325,21 @@ def keep_one(docs: DataFrame) -> DataFrame:
     least = linked.groupBy("_component").agg(F.min("first").alias("_least"))
     of = distinct.select(F.col("fp").alias("_fp"), "first").join(linked.join(least, "_component").select("_fp", "_component", "_least"), "_fp", "left")
     of = of.select("_fp", F.coalesce("_component", "_fp").alias("_component"), F.coalesce("_least", "first").alias("_least"))
-    found = fps.join(of, fps.fp == of["_fp"]).select(F.col("doc_id").alias("_id"), "_fp", "_component", (F.col("doc_id") == F.col("_least")).alias("_stays"))
+    found = fps.join(of, fps.fp == of["_fp"]).select(F.col("doc_id").alias("gone_id"), "_fp", "_component", (F.col("doc_id") == F.col("_least")).alias("_stays"))
     found = scratch.keep(found)
-    ids = scratch.keep(found.groupBy("_id").agg(F.count("*").alias("_rows"), F.max("_stays").alias("_any")))
-    left = without(docs, ids.where("not _any").select("_id"))
-    repeated = ids.where("_any and _rows > 1").select("_id")
+    ids = scratch.keep(found.groupBy("gone_id").agg(F.count("*").alias("_rows"), F.max("_stays").alias("_any")))
+    left = without(_rows(docs), ids.where("not _any").select("gone_id"))
+    repeated = ids.where("_any and _rows > 1").select("gone_id")
+    whole = [F.col("row." + _quoted(c)) for c in docs.columns]
     if not repeated.take(1):
-        return left
-    once = left.join(repeated, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
-    again = left.join(repeated, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
-    again = again.withColumn("_row_fp", _print_of(docs.sparkSession)(F.col("text").cast("string")))
-    stays = found.where("_stays").join(repeated, "_id", "left_semi").select("_id", "_fp", "_component").distinct()
-    first = Window.partitionBy("_component").orderBy("text")
-    again = again.join(stays, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_row_fp") == F.col("_fp")))
-    return once.unionByName(again.withColumn("_first", F.row_number().over(first)).where("_first = 1").select(*docs.columns))
+        return left.select(*whole)
+    again = F.col("id") == F.col("gone_id")
+    once = left.join(repeated, again, "left_anti").select("row")
+    twice = left.join(repeated, again, "left_semi").withColumn("fp", _print_of(docs.sparkSession)(F.col("row.text").cast("string")))
+    stays = found.where("_stays").join(repeated, "gone_id", "left_semi").select("gone_id", "_fp", "_component").distinct()
+    # The first by text of each component: a partial minimum, so a crowd of equal rows is never gathered.
+    firsts = twice.join(stays, again & (F.col("fp") == F.col("_fp"))).groupBy("_component").agg(F.min_by("row", F.struct(F.col("row.text").isNotNull(), F.col("row.text"))).alias("row"))
+    return once.unionByName(firsts.select("row")).select(*whole)
 
 
 def _print_of(spark: SparkSession):
