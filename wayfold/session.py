@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,20 +21,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package when it is not installed, as in a source checkout."""
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *(p for p in paths if p)])
+    """Let Python workers import this package when it is not installed, as in a source checkout.
+
+    On one machine its folder goes on the workers' path; on a cluster a zip of it is written to the shared
+    folder and dealt out by Spark.
+    """
+    sc = spark.sparkContext
+    if _is_local(spark):
+        paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
+        if ROOT not in paths:
+            sc.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *(p for p in paths if p)])
+    elif sc.applicationId not in _shipped:
+        sources = sorted((Path(ROOT) / "wayfold").rglob("*.py"))
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            for p in sources:
+                z.writestr(zipfile.ZipInfo(str(p.relative_to(ROOT))), p.read_bytes())
+        target = f"{shared_dir(spark)}/wayfold-{sc.applicationId}.zip"
+        path = sc._jvm.org.apache.hadoop.fs.Path(target)
+        out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(held.getvalue()))
+        out.close()
+        sc.addPyFile(target)
+        _shipped.add(sc.applicationId)
     return spark
 
 
+#: Applications that have the package already.
+_shipped: set[str] = set()
+
+
+def _is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is named."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where none is named and all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not _is_local(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="wayfold-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
