@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.operators import access, routes
+from wayfold.operators import access, search
 
 
 def huff(pairs: DataFrame, beta: float) -> DataFrame:
@@ -37,7 +37,7 @@ def trips(paths: DataFrame, pairs: DataFrame, origins: DataFrame, beta: float, c
 
 def betweenness(taken: DataFrame) -> DataFrame:
     """Flow over each edge."""
-    return routes.path_edges(taken.select("flow", "path")).groupBy("edge_id").agg(F.sum("flow").alias("betweenness"))
+    return search.path_edges(taken.select("flow", "path")).groupBy("edge_id").agg(F.sum("flow").alias("betweenness"))
 
 
 def origin_stats(taken: DataFrame) -> DataFrame:
@@ -55,11 +55,13 @@ def origin_stats(taken: DataFrame) -> DataFrame:
 
 def path_exposure(taken: DataFrame, edges: DataFrame) -> DataFrame:
     """Cost-weighted mean of an edge attribute ``a`` along each path, summed to origins by probability."""
-    steps = routes.path_edges(taken).join(edges.select("edge_id", "w", "a"), "edge_id")
-    key = ["oid", "did", "path", "cost", "p_path", "p_dest", "decay"]
-    each = steps.groupBy(*key).agg((F.sum(F.col("w") * F.col("a")) / F.sum("w")).alias("mean"))
+    steps = search.path_edges(taken).join(edges.select("edge_id", "w", "a"), "edge_id")
+    means = steps.groupBy("oid", "did", "path_no").agg(
+        (F.sum(F.col("w") * F.col("a")) / F.sum("w")).alias("mean"),
+        *[F.first(c).alias(c) for c in ("cost", "p_path", "p_dest", "decay")],
+    )
     p = F.col("p_path") * F.col("p_dest") * F.col("mean")
-    return each.groupBy("oid").agg(F.sum(p).alias("exposure"), F.sum(p * F.col("decay")).alias("decayed_exposure"), F.sum(p * F.col("cost")).alias("hazard_meters"), F.sum(p * F.col("decay") * F.col("cost")).alias("decayed_hazard_meters"))
+    return means.groupBy("oid").agg(F.sum(p).alias("exposure"), F.sum(p * F.col("decay")).alias("decayed_exposure"), F.sum(p * F.col("cost")).alias("hazard_meters"), F.sum(p * F.col("decay") * F.col("cost")).alias("decayed_hazard_meters"))
 
 
 def error_summary(simulated: DataFrame, golden: DataFrame, key: str, thresholds: tuple[float, ...] = (1.0, 5.0)) -> DataFrame:

@@ -1,27 +1,23 @@
-"""Bounded shortest paths, distances between features, turn costs and enumeration of simple paths."""
+"""Bounded shortest paths as relaxation rounds over tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.functions.geometry import turn_angle
-from wayfold.operators import network
 from wayfold.session import Scratch
 
-SLACK = 1e-5  # fixed: paths may exceed the detour limit by this much
-
 
 def relax(arcs: DataFrame, seeds: DataFrame, limit: float, scratch: Scratch, key: str = "oid") -> DataFrame:
     """Least cost (key, node, cost) of every node within ``limit`` of the seeds (key, node, cost).
 
-    Each round joins the last round's improvements to the arcs and merges them into the known costs
-    with one aggregation by (key, node). Rounds are written to the shared folder.
+    Each round joins the last round's improvements to the arcs (src, dst, w) and merges them into the
+    known costs with one aggregation by (key, node). Rounds are written to the shared folder.
     """
     known = seeds.filter(F.col("cost") <= limit).groupBy(key, "node").agg(F.min("cost").alias("cost")).withColumn("fresh", F.lit(True))
     known = scratch.keep(known)
     while not known.filter("fresh").isEmpty():
-        moved = known.filter("fresh").join(arcs.select(F.col("src").alias("node"), "dst", "w"), "node")
+        moved = known.filter("fresh").join(arcs.where("w is not null").select(F.col("src").alias("node"), "dst", "w"), "node")
         moved = moved.select(key, F.col("dst").alias("node"), F.lit(None).cast("double").alias("old"), (F.col("cost") + F.col("w")).alias("new")).filter(F.col("new") <= limit)
         both = known.select(key, "node", F.col("cost").alias("old"), F.lit(None).cast("double").alias("new")).unionByName(moved)
         merged = both.groupBy(key, "node").agg(F.min("old").alias("old"), F.min("new").alias("new"))
@@ -30,77 +26,3 @@ def relax(arcs: DataFrame, seeds: DataFrame, limit: float, scratch: Scratch, key
         scratch.drop(known)
         known = step
     return known.drop("fresh")
-
-
-def _same_edge(origins: DataFrame, destinations: DataFrame) -> DataFrame:
-    d = destinations.select("did", "edge_id", F.col("w_e").alias("d_e"))
-    return origins.join(d, "edge_id").select("oid", "did", F.abs(F.col("w_e") - F.col("d_e")).alias("dist"))
-
-
-def distances(scope: DataFrame, origins: DataFrame, destinations: DataFrame, radius: float) -> DataFrame:
-    """Shortest distance (oid, did, dist) of all pairs within ``radius``, inclusive."""
-    ends = network.entries(destinations, "did").select("did", "node", F.col("cost").alias("last"))
-    around = scope.join(ends, "node").select("oid", "did", (F.col("cost") + F.col("last")).alias("dist"))
-    return around.unionByName(_same_edge(origins, destinations)).filter(F.col("dist") <= radius).groupBy("oid", "did").agg(F.min("dist").alias("dist"))
-
-
-def turn_distances(edges: DataFrame, nodes: DataFrame, origins: DataFrame, destinations: DataFrame, radius: float, scratch: Scratch, threshold: float = 45, penalty: float = 30) -> DataFrame:
-    """As ``distances``, with ``penalty`` for each turn at a street node of over ``threshold`` degrees.
-
-    The search runs over arcs (node before, node), so costs are exact with turns.
-    """
-    at = lambda n: nodes.select(F.col("node").alias(n), F.struct("x", "y").alias(f"{n}_at"))
-    arcs = scratch.keep(network.arcs(edges).join(at("src"), "src").join(at("dst"), "dst"))
-    into = arcs.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("src_at").alias("pa"), F.col("dst_at").alias("pb"))
-    onward = arcs.select(F.col("src").alias("b"), F.col("dst").alias("c"), F.col("dst_at").alias("pc"), "w", "edge_id")
-    cost = F.when(turn_angle(F.col("pa"), F.col("pb"), F.col("pc")) > threshold, float(penalty)).otherwise(0.0)
-    turns = scratch.keep(into.join(onward, "b").select(F.struct("a", "b").alias("src"), F.struct(F.col("b").alias("a"), F.col("c").alias("b")).alias("dst"), "w", cost.alias("turn"), "edge_id"))
-    out_s = F.struct("oid", F.struct(F.col("e").alias("a"), F.col("s").alias("b")).alias("node"), F.col("w_s").alias("cost"))
-    out_e = F.struct("oid", F.struct(F.col("s").alias("a"), F.col("e").alias("b")).alias("node"), F.col("w_e").alias("cost"))
-    scope = relax(turns.select("src", "dst", (F.col("w") + F.col("turn")).alias("w")), origins.select(F.inline(F.array(out_s, out_e))), radius, scratch)
-    to_s = F.struct("did", F.struct(F.col("s").alias("a"), F.col("e").alias("b")).alias("dst"), F.col("w_s").alias("last"))
-    to_e = F.struct("did", F.struct(F.col("e").alias("a"), F.col("s").alias("b")).alias("dst"), F.col("w_e").alias("last"))
-    last = destinations.select(F.inline(F.array(to_s, to_e))).join(turns, "dst").select("did", F.col("src").alias("node"), (F.col("last") + F.col("turn")).alias("last"))
-    around = scope.join(last, "node").select("oid", "did", (F.col("cost") + F.col("last")).alias("dist"))
-    return around.unionByName(_same_edge(origins, destinations)).filter(F.col("dist") <= radius).groupBy("oid", "did").agg(F.min("dist").alias("dist"))
-
-
-def simple_paths(edges: DataFrame, origins: DataFrame, destinations: DataFrame, pairs: DataFrame, detour: float, longest: float, scratch: Scratch) -> DataFrame:
-    """All simple paths (oid, did, dist, cost, path: edge ids) of ``pairs`` within detour * dist, plus a small slack.
-
-    Costs back from the destinations prune the search to each pair's ellipse. Interior edges are never
-    the origin's or the destination's edge; where both share one edge, a path around leaves by the end
-    away from the destination and comes back by the other.
-    """
-    arcs = scratch.keep(network.arcs(edges))
-    ends = network.entries(destinations, "did")
-    back = relax(arcs, ends.select("did", "node", "cost"), detour * longest + SLACK, scratch, "did").select("did", F.col("node").alias("at"), F.col("cost").alias("left"))
-    o = origins.select("oid", F.col("edge_id").alias("eo"), F.col("s").alias("os"), F.col("e").alias("oe"), F.col("w_s").alias("o_s"), F.col("w_e").alias("o_e"))
-    d = destinations.select("did", F.col("edge_id").alias("ed"), F.col("s").alias("ds"), F.col("e").alias("de"), F.col("w_s").alias("d_s"), F.col("w_e").alias("d_e"))
-    trips = scratch.keep(pairs.join(o, "oid").join(d, "did").withColumn("limit", F.col("dist") * detour + SLACK))
-    same = F.col("eo") == F.col("ed")
-    direct = trips.filter(same & (F.abs(F.col("o_s") - F.col("d_s")) <= F.col("limit"))).select("oid", "did", "dist", F.abs(F.col("o_s") - F.col("d_s")).alias("cost"), F.array("eo").alias("path"))
-    by_s = F.when(~same | (F.col("o_s") < F.col("d_s")), F.struct(F.col("os").alias("at"), F.col("o_s").alias("cost")))
-    by_e = F.when(~same | (F.col("o_s") > F.col("d_s")), F.struct(F.col("oe").alias("at"), F.col("o_e").alias("cost")))
-    state = trips.select("*", F.inline(F.array_compact(F.array(by_s, by_e))))
-    state = state.join(back, ["did", "at"]).filter(F.col("cost") + F.col("left") <= F.col("limit")).drop("left")
-    state = scratch.keep(state.withColumn("seen", F.array("at")).withColumn("inner", F.array().cast("array<bigint>")))
-    out = [direct]
-    while not state.isEmpty():
-        for here, rest, allowed in (("ds", "d_s", F.col("o_s") > F.col("d_s")), ("de", "d_e", F.col("o_s") < F.col("d_s"))):
-            there = (F.col("at") == F.col(here)) & (~same | allowed) & (F.col("cost") + F.col(rest) <= F.col("limit"))
-            out.append(state.filter(there).select("oid", "did", "dist", (F.col("cost") + F.col(rest)).alias("cost"), F.concat(F.array("eo"), "inner", F.array("ed")).alias("path")))
-        step = state.join(arcs.withColumnRenamed("src", "at"), "at")
-        step = step.filter((F.col("edge_id") != F.col("eo")) & (F.col("edge_id") != F.col("ed")) & ~F.array_contains("seen", F.col("dst")))
-        step = step.withColumn("cost", F.col("cost") + F.col("w")).withColumn("seen", F.concat("seen", F.array("dst"))).withColumn("inner", F.concat("inner", F.array("edge_id")))
-        step = step.drop("at", "w", "edge_id").withColumnRenamed("dst", "at")
-        state = scratch.keep(step.join(back, ["did", "at"]).filter(F.col("cost") + F.col("left") <= F.col("limit")).drop("left"))
-    paths = out[0]
-    for more in out[1:]:
-        paths = paths.unionByName(more)
-    return scratch.keep(paths.withColumn("cost", F.greatest("cost", F.lit(0.01))))
-
-
-def path_edges(paths: DataFrame) -> DataFrame:
-    """One row per path and place."""
-    return paths.select("*", F.posexplode("path").alias("place", "edge_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayfold.functions import geometry, styling
-from wayfold.operators import access, flow, network, routes
+from wayfold.operators import access, flow, network, search
 from wayfold.plans import oracles
 from wayfold.session import table
 from wayfold.sources.grid import STEP, Grid
@@ -39,21 +39,19 @@ class World:
         return self._once("destinations", lambda: self.scratch.keep(self.grid.destinations(self.edges)))
 
     @property
-    def scope(self):
-        arcs = self.scratch.keep(network.arcs(self.edges))
-        seeds = network.entries(self.origins, "oid").select("oid", "node", "cost")
-        return self._once("scope", lambda: routes.relax(arcs, seeds, RADIUS, self.scratch))
+    def streets(self):
+        return self._once("streets", lambda: search.Streets(self.edges, self.grid.nodes(), self.scratch))
 
     @property
     def pairs(self):
         def make():
-            return self.scratch.keep(access.with_weights(routes.distances(self.scope, self.origins, self.destinations, RADIUS), self.destinations))
+            return self.scratch.keep(access.with_weights(search.distances(self.streets, self.origins, self.destinations, RADIUS), self.destinations))
 
         return self._once("pairs", make)
 
     def paths(self, closest: bool, detour: float):
         chosen = access.closest_destination(self.pairs) if closest else self.pairs.select("oid", "did", "dist")
-        return routes.simple_paths(self.edges, self.origins, self.destinations, chosen, detour, RADIUS, self.scratch)
+        return search.paths(self.streets, self.origins, self.destinations, chosen, detour, RADIUS)
 
     def trips(self, closest: bool, detour: float, decay=None, origins=None):
         return flow.trips(self.paths(closest, detour), self.pairs, self.origins if origins is None else origins, BETA, closest, decay)
@@ -135,7 +133,8 @@ def od_distance(spark, sf_dir):
 
 
 def node_scope(spark, sf_dir):
-    return World(spark, sf_dir).scope.select("oid", "node", "cost")
+    w = World(spark, sf_dir)
+    return search.scope(w.streets, w.origins, RADIUS)
 
 
 def reach(spark, sf_dir):
@@ -223,7 +222,7 @@ def path_exposure(spark, sf_dir):
 
 def turn_penalty_distance(spark, sf_dir):
     w = World(spark, sf_dir)
-    return routes.turn_distances(w.edges, w.grid.nodes(), w.origins, w.destinations, RADIUS, w.scratch)
+    return search.distances(w.streets, w.origins, w.destinations, RADIUS, search.Turns())
 
 
 def color_gradient(spark, sf_dir):
