@@ -1,19 +1,47 @@
-"""Planar geometry as column expressions. A polyline is array<struct<x, y>>."""
+"""Planar geometry as column expressions.
+
+A polyline is array<struct<x, y>>. A geometry is struct<type, parts>: its kind and its parts, each a
+polyline: one point to a part for points, one line to a part for lines, one ring to a part for
+polygons. Coordinates are planar, in the units of their layer; further dimensions are left out.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+POINT = "struct<x:double,y:double>"
+GEOMETRY = f"struct<type:string,parts:array<array<{POINT}>>>"
+
+
+def point(x: Column, y: Column) -> Column:
+    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+def geometry(kind: str | Column, parts: Column) -> Column:
+    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("type"), parts.alias("parts"))
+
+
+def _distance(a: Column, b: Column) -> Column:
+    dx, dy = a["x"] - b["x"], a["y"] - b["y"]
+    return F.sqrt(dx * dx + dy * dy)
+
 
 def _legs(coords: Column) -> Column:
     """The segments of a polyline: their ends and length."""
     n = F.greatest(F.size(coords) - 1, F.lit(0))
+    return F.zip_with(F.slice(coords, 1, n), F.slice(coords, 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b"), _distance(a, b).alias("size")))
+
+
+def segments(geom: Column) -> Column:
+    """All segments (a, b, size) of a geometry; a part of one point is a segment without length."""
+    one = lambda p: F.array(F.struct(p[0].alias("a"), p[0].alias("b"), F.lit(0.0).alias("size")))
+    return F.flatten(F.transform(F.filter(geom["parts"], lambda p: F.size(p) > 0), lambda p: F.when(F.size(p) == 1, one(p)).otherwise(_legs(p))))
 
-    def leg(a, b):
-        return F.struct(a.alias("a"), b.alias("b"), F.sqrt((a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2).alias("size"))
 
-    return F.zip_with(F.slice(coords, 1, n), F.slice(coords, 2, n), leg)
+def line(geom: Column) -> Column:
+    """The first part of a geometry as a polyline."""
+    return F.get(geom["parts"], F.lit(0))
 
 
 def length(coords: Column) -> Column:
@@ -21,19 +49,27 @@ def length(coords: Column) -> Column:
     return F.aggregate(_legs(coords), F.lit(0.0), lambda total, leg: total + leg["size"])
 
 
+def size(geom: Column) -> Column:
+    """Length of all parts together."""
+    return F.aggregate(geom["parts"], F.lit(0.0), lambda total, part: total + length(part))
+
+
 def end_points(coords: Column) -> tuple[Column, Column]:
     return F.try_element_at(coords, F.lit(1)), F.try_element_at(coords, F.lit(-1))
 
 
+def _between(a: Column, b: Column, t: Column) -> Column:
+    return point(a["x"] + t * (b["x"] - a["x"]), a["y"] + t * (b["y"] - a["y"]))
+
+
 def interpolate(coords: Column, distance: Column) -> Column:
     """The point at ``distance`` along a polyline, kept within its ends."""
-    start = F.struct(distance.cast("double").alias("left"), F.lit(None).cast("struct<x:double,y:double>").alias("at"))
+    start = F.struct(distance.cast("double").alias("left"), F.lit(None).cast(POINT).alias("at"))
 
     def walk(state, leg):
         inside = state["left"] <= leg["size"]
         t = F.when(leg["size"] > 0, F.greatest(state["left"], F.lit(0.0)) / leg["size"]).otherwise(0.0)
-        at = F.struct((leg["a"]["x"] + t * (leg["b"]["x"] - leg["a"]["x"])).alias("x"), (leg["a"]["y"] + t * (leg["b"]["y"] - leg["a"]["y"])).alias("y"))
-        here = F.when(state["at"].isNull() & inside, at).otherwise(state["at"])
+        here = F.when(state["at"].isNull() & inside, _between(leg["a"], leg["b"], t)).otherwise(state["at"])
         return F.struct((state["left"] - leg["size"]).alias("left"), here.alias("at"))
 
     return F.coalesce(F.aggregate(_legs(coords), start, walk)["at"], F.try_element_at(coords, F.lit(-1)))
@@ -43,6 +79,65 @@ def midpoint(coords: Column) -> Column:
     return interpolate(coords, length(coords) / 2)
 
 
+def _share_on(p: Column, a: Column, b: Column) -> Column:
+    """Where on a-b, 0 to 1, the point nearest to p lies."""
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    norm = dx * dx + dy * dy
+    t = ((p["x"] - a["x"]) * dx + (p["y"] - a["y"]) * dy) / norm
+    return F.when(norm > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))).otherwise(0.0)
+
+
+def point_to_segment(p: Column, a: Column, b: Column) -> Column:
+    """Distance of a point from a segment."""
+    return _distance(p, _between(a, b, _share_on(p, a, b)))
+
+
+def segment_distance(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Distance between segments a-b and c-d; 0 where they cross."""
+    side = lambda p, q, r: (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
+    cross = (side(a, b, c) * side(a, b, d) < 0) & (side(c, d, a) * side(c, d, b) < 0)
+    return F.when(cross, 0.0).otherwise(F.least(point_to_segment(a, c, d), point_to_segment(b, c, d), point_to_segment(c, a, b), point_to_segment(d, a, b)))
+
+
+def project(coords: Column, p: Column) -> Column:
+    """How far along a polyline the point nearest to p lies; the first of several."""
+    start = F.struct(F.lit(0.0).alias("before"), F.lit(float("inf")).alias("gap"), F.lit(0.0).alias("along"))
+
+    def walk(state, leg):
+        t = _share_on(p, leg["a"], leg["b"])
+        gap = _distance(p, _between(leg["a"], leg["b"], t))
+        closer = gap < state["gap"]
+        return F.struct((state["before"] + leg["size"]).alias("before"), F.when(closer, gap).otherwise(state["gap"]).alias("gap"), F.when(closer, state["before"] + t * leg["size"]).otherwise(state["along"]).alias("along"))
+
+    return F.aggregate(_legs(coords), start, walk)["along"]
+
+
+def cut(coords: Column, distance: Column) -> Column:
+    """A polyline cut in two at ``distance``: struct<first, second>, the cut point in both."""
+    at = interpolate(coords, distance)
+    start = F.struct(F.lit(0.0).alias("along"), F.lit(0).alias("n"))
+
+    def count(state, leg):
+        along = state["along"] + leg["size"]
+        return F.struct(along.alias("along"), (state["n"] + F.when(along <= distance, 1).otherwise(0)).alias("n"))
+
+    n = F.aggregate(_legs(coords), start, count)["n"]  # legs that end before the cut
+    first = F.concat(F.slice(coords, F.lit(1), n + 1), F.array(at))
+    second = F.concat(F.array(at), F.slice(coords, n + 2, F.greatest(F.size(coords) - n - 1, F.lit(0))))
+    return F.struct(first.alias("first"), second.alias("second"))
+
+
+def centroid(geom: Column) -> Column:
+    """Mean of points; of lines (and of rings, which stand for polygons) the mean of their legs' middles by length."""
+    points = F.flatten(geom["parts"])
+    legs = segments(geom)
+    total = F.aggregate(legs, F.lit(0.0), lambda s, leg: s + leg["size"])
+    middle = lambda c: F.aggregate(legs, F.lit(0.0), lambda s, leg: s + leg["size"] * (leg["a"][c] + leg["b"][c]) / 2) / total
+    mean = lambda c: F.aggregate(points, F.lit(0.0), lambda s, p: s + p[c]) / F.size(points)
+    is_line = ~geom["type"].isin("Point", "MultiPoint") & (total > 0)
+    return F.when(F.size(points) > 0, F.when(is_line, point(middle("x"), middle("y"))).otherwise(point(mean("x"), mean("y"))))
+
+
 def bearing(a: Column, b: Column) -> Column:
     """Clockwise angle from north, 0 to 2 pi; 0 for one point."""
     return F.pmod(F.atan2(b["x"] - a["x"], b["y"] - a["y"]), F.lit(2 * 3.141592653589793))
@@ -53,3 +148,26 @@ def turn_angle(a: Column, b: Column, c: Column) -> Column:
     back, on = F.degrees(F.atan2(a["y"] - b["y"], a["x"] - b["x"])), F.degrees(F.atan2(c["y"] - b["y"], c["x"] - b["x"]))
     bend = F.abs(180 - F.rint(F.pmod(on - back, F.lit(360.0))))
     return F.when(bend > 90, 180 - bend).otherwise(bend)
+
+
+def clip_span(a: Column, b: Column, hull: Column) -> Column:
+    """The part of segment a-b inside a convex polygon (corners counter-clockwise): struct<t0, t1>, null if none."""
+    corners = F.concat(hull, F.slice(hull, 1, 1))
+    inward = lambda p, q, r: (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
+    start = F.struct(F.lit(0.0).alias("t0"), F.lit(1.0).alias("t1"))
+
+    def bound(state, side):
+        u, v = inward(side["a"], side["b"], a), inward(side["a"], side["b"], b)
+        t = u / (u - v)
+        t0 = F.when((u < 0) & (v < 0), 2.0).when(u < 0, F.greatest(state["t0"], t)).otherwise(state["t0"])
+        t1 = F.when((u >= 0) & (v < 0), F.least(state["t1"], t)).otherwise(state["t1"])
+        return F.struct(t0.alias("t0"), t1.alias("t1"))
+
+    span = F.aggregate(_legs(corners), start, bound)
+    return F.when((F.size(hull) >= 3) & (span["t0"] < span["t1"]), span)
+
+
+def mercator_to_degrees(p: Column) -> Column:
+    """A point of the spherical web map projection as longitude and latitude."""
+    r = 6378137.0  # fixed: the sphere's radius
+    return point(F.degrees(p["x"] / r), F.degrees(2 * F.atan(F.exp(p["y"] / r)) - F.lit(3.141592653589793 / 2)))

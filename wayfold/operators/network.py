@@ -59,14 +59,18 @@ def keep_redundant(streets: DataFrame) -> DataFrame:
     return streets.withColumn("used", F.max("street_id").over(Window.partitionBy(*_pair())) == F.col("street_id"))
 
 
-def tag_edges(streets: DataFrame, tolerance: float) -> DataFrame:
-    """Quality tags: redundant, cycle, shorter than the tolerance, near it (three times), or good."""
+def tag_edges(streets: DataFrame, tolerance: float, kind: Column | None = None) -> DataFrame:
+    """Quality tags by cost: redundant, shorter than the tolerance, within three times it, cycle, bad geometry, or none.
+
+    The first that holds counts; ``kind`` is the geometry's kind, if not all are lines.
+    """
     tag = (
         F.when(F.count(F.lit(1)).over(Window.partitionBy(*_pair())) > 1, "redundant_edge")
-        .when(F.col("s") == F.col("e"), "cycle")
-        .when(F.col("len") < tolerance, "under_tolerance")
-        .when(F.col("len") < 3 * tolerance, "near_tolerance")
-        .otherwise("good")
+        .when(F.col("w") < tolerance, "shorter than tolerance")
+        .when(F.col("w") < 3 * tolerance, "within 3x tolerance")
+        .when(F.col("s") == F.col("e"), "cycle_edge")
+        .when(F.lit("LineString") != (kind if kind is not None else F.lit("LineString")), "bad_geometry_type")
+        .otherwise("")
     )
     return streets.withColumn("tag", tag)
 
@@ -84,11 +88,11 @@ def edge_chain(attached: DataFrame, key: str) -> DataFrame:
 
 
 def arcs(edges: DataFrame) -> DataFrame:
-    """Both directions of every edge: src, dst, edge_id, w."""
+    """Both directions of every edge: src, dst, edge_id, w. An edge without a cost is no way."""
     w = F.greatest("w", F.lit(0.0)).alias("w")
     there = F.struct(F.col("s").alias("src"), F.col("e").alias("dst"), "edge_id", w)
     back = F.struct(F.col("e").alias("src"), F.col("s").alias("dst"), "edge_id", w)
-    return edges.select(F.inline(F.array(there, back)))
+    return edges.where("w is not null").select(F.inline(F.array(there, back)))
 
 
 def entries(attached: DataFrame, key: str) -> DataFrame:
@@ -106,30 +110,3 @@ def within_tolerance(points: DataFrame, tolerance: float) -> DataFrame:
     far = points.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.inline(around))
     gap = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2)
     return near.join(far, ["cx", "cy"]).filter("a < b").select("a", "b", gap.alias("gap")).filter(F.col("gap") <= tolerance)
-
-
-def nearest_edge(points: DataFrame, segments: DataFrame, cell: float, scratch: Scratch) -> DataFrame:
-    """Each point's (id, x, y) nearest segment (edge_id, x1, y1, x2, y2), ties to the smaller id, with the distance.
-
-    Cells double until the best distance found is within one cell, so every round is an equi-join on
-    cells and a point far from all streets costs only more rounds. Points without a segment at all
-    (an empty table) get none.
-    """
-    if segments.isEmpty():
-        return points.select("id", F.lit(None).cast("bigint").alias("edge_id"), F.lit(None).cast("double").alias("distance"))
-    out, rest = None, points
-    while not rest.isEmpty():
-        index = lambda c: F.floor(F.col(c) / cell)
-        span = lambda a, b: F.sequence(F.least(index(a), index(b)), F.greatest(index(a), index(b)))
-        covered = segments.withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(span("y1", "y2")))
-        around = F.array(*[F.struct((index("x") + i).alias("cx"), (index("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-        size = dx * dx + dy * dy
-        t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / size))).otherwise(0.0)
-        gap = F.sqrt((F.col("x") - F.col("x1") - t * dx) ** 2 + (F.col("y") - F.col("y1") - t * dy) ** 2)
-        best = rest.select("id", "x", "y", F.inline(around)).join(covered, ["cx", "cy"]).groupBy("id").agg(F.min(F.struct(gap.alias("distance"), "edge_id")).alias("best"))
-        done = scratch.keep(best.filter(F.col("best.distance") <= cell).select("id", "best.edge_id", "best.distance"))
-        out = done if out is None else out.unionByName(done)
-        rest = scratch.keep(rest.join(done, "id", "left_anti"))
-        cell *= 2
-    return out if out is not None else points.select("id", F.lit(None).cast("bigint").alias("edge_id"), F.lit(None).cast("double").alias("distance"))

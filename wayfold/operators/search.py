@@ -58,14 +58,14 @@ class Streets:
 
     @property
     def located(self) -> DataFrame:
-        """(edge_id, s, e, w, sx, sy, ex, ey, size) of the edges that connect something."""
+        """(edge_id, s, e, w, sx, sy, ex, ey, size, used) of the edges that connect something; routes take those ``used`` (all, if not said)."""
         if self._located is None:
             at = lambda n: self.nodes.select(F.col("node").alias(n), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y"))
             edges = self.edges.where("w is not null and s is not null and e is not null").withColumn("w", F.greatest(F.col("w").cast("double"), F.lit(0.0)))
             chord = F.sqrt((F.col("sx") - F.col("ex")) ** 2 + (F.col("sy") - F.col("ey")) ** 2)
             size = F.greatest(chord, F.col("len")) if "len" in edges.columns else chord
             both = edges.join(at("s"), "s", "left").join(at("e"), "e", "left")
-            self._located = self.scratch.keep(both.select("edge_id", "s", "e", "w", "sx", "sy", "ex", "ey", size.alias("size")))
+            self._located = self.scratch.keep(both.select("edge_id", "s", "e", "w", "sx", "sy", "ex", "ey", size.alias("size"), (F.col("used") if "used" in edges.columns else F.lit(True)).alias("used")))
         return self._located
 
     def reach(self, limit: float) -> tuple[float, bool]:
@@ -92,11 +92,11 @@ def _anchored(features: DataFrame, streets: Streets) -> DataFrame:
     return both.withColumns({"ax": F.col("sx") + t * (F.col("ex") - F.col("sx")), "ay": F.col("sy") + t * (F.col("ey") - F.col("sy"))}).drop("_w", "sx", "sy", "ex", "ey")
 
 
-def _arcs(streets: Streets) -> DataFrame:
+def arcs(streets: Streets) -> DataFrame:
     """Both directions of every edge, with the points of its ends."""
     there = F.struct(F.col("s").alias("src"), F.col("e").alias("dst"), "edge_id", "w", F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("ex").alias("tox"), F.col("ey").alias("toy"))
     back = F.struct(F.col("e").alias("src"), F.col("s").alias("dst"), "edge_id", "w", F.col("ex").alias("x"), F.col("ey").alias("y"), F.col("sx").alias("tox"), F.col("sy").alias("toy"))
-    return streets.located.select(F.inline(F.array(there, back)))
+    return streets.located.where("used").select(F.inline(F.array(there, back)))
 
 
 def _around(df: DataFrame, x: str, y: str, side: float, halo: float) -> DataFrame:
@@ -114,15 +114,15 @@ def _dealt(streets: Streets, askers: DataFrame, limit: float, others: DataFrame
     halo, proved = streets.reach(limit)
     side = 2 * halo
     askers = askers.withColumns({"tx": _tile(F.col("ax"), side), "ty": _tile(F.col("ay"), side)})
-    arcs = _arcs(streets)
+    ways = arcs(streets)
     if proved:
-        arcs = _around(arcs, "x", "y", side, halo)
+        ways = _around(ways, "x", "y", side, halo)
         near = _around(others, "ax", "ay", side, halo) if others is not None else None
     else:
         seeds = askers.select(F.concat_ws(",", "tx", "ty").alias("tile"), F.explode(F.array("s", "e")).alias("node"), F.lit(0.0).alias("cost")).distinct()
-        part = routes.relax(arcs, seeds, limit, scratch, "tile").select(F.split("tile", ",").alias("t"), "node")
+        part = routes.relax(ways, seeds, limit, scratch, "tile").select(F.split("tile", ",").alias("t"), "node")
         part = scratch.keep(part.select(F.col("t")[0].cast("long").alias("tx"), F.col("t")[1].cast("long").alias("ty"), "node"))
-        arcs = arcs.join(part.withColumnRenamed("node", "src"), "src")
+        ways = ways.join(part.withColumnRenamed("node", "src"), "src")
         near = None
         if others is not None:
             ends = others.withColumn("node", F.explode(F.array("s", "e"))).join(part, "node").drop("node")
@@ -143,9 +143,9 @@ def _dealt(streets: Streets, askers: DataFrame, limit: float, others: DataFrame
         out = df.join(tiles, ["tx", "ty"]).withColumn("_part", F.explode(part)).withColumn("_crowd", F.explode(crowd))
         return out.withColumn("chunk", F.col("_part") * F.col("crowds") + F.col("_crowd")).drop("_part", "_crowd", "parts", "crowds")
 
-    arcs = chunked(arcs, every("parts"), every("crowds"))
+    ways = chunked(ways, every("parts"), every("crowds"))
     askers = chunked(askers, one("parts"), every("crowds"))
-    return arcs, askers, None if near is None else chunked(near, every("parts"), one("crowds"))
+    return ways, askers, None if near is None else chunked(near, every("parts"), one("crowds"))
 
 
 COLUMNS = "tx long, ty long, chunk int, kind int, a long, b long, c long, d long, u double, v double, p double, q double, r double, t double, z array<double>, l array<long>"
@@ -294,20 +294,26 @@ def _features(features: DataFrame, key: str) -> DataFrame:
     return features.select(F.col(key).alias("id"), "edge_id", "s", "e", "w_s", "w_e")
 
 
-def scope(streets: Streets, origins: DataFrame, radius: float) -> DataFrame:
+def scope(streets: Streets, origins: DataFrame, radius: float, turns: Turns | None = None) -> DataFrame:
     """Least cost (oid, node, cost) of every node within ``radius`` of each origin."""
-    arcs, asked, _ = _dealt(streets, _anchored(_features(origins, "oid"), streets), radius)
+    ways, asked, _ = _dealt(streets, _anchored(_features(origins, "oid"), streets), radius)
 
     def kernel(batches):
         found = _Found(["oid", "node", "cost"], [pa.int64(), pa.int64(), pa.float64()])
-        for part, _, c in _parts(batches, None):
+        for part, _, c in _parts(batches, turns):
             for oid, s, e, w_s, w_e in zip(c["a"], c["b"], c["d"], c["u"], c["v"], strict=True):
-                for node, cost in part.spread([(w_s, s), (w_e, e)], radius).items():
+                if turns is None:
+                    best = part.spread([(w_s, s), (w_e, e)], radius)
+                else:
+                    best = {}
+                    for (_, node), cost in part.spread_turning([(w_s, e, s), (w_e, s, e)], radius).items():
+                        best[node] = min(cost, best.get(node, math.inf))
+                for node, cost in best.items():
                     found.add(oid, node, cost)
                 yield from found.take()
         yield from found.take(0)
 
-    return _run(_arc_rows(arcs, None).unionByName(_origin_rows(asked)), kernel, "oid long, node long, cost double")
+    return _run(_arc_rows(ways, turns).unionByName(_origin_rows(asked)), kernel, "oid long, node long, cost double")
 
 
 def distances(streets: Streets, origins: DataFrame, destinations: DataFrame, radius: float, turns: Turns | None = None) -> DataFrame:
@@ -317,7 +323,7 @@ def distances(streets: Streets, origins: DataFrame, destinations: DataFrame, rad
     stretch are taken to run straight between the ends of their edges.
     """
     asked, near = _anchored(_features(origins, "oid"), streets), _anchored(_features(destinations, "did"), streets)
-    arcs, asked, near = _dealt(streets, asked, radius, near)
+    ways, asked, near = _dealt(streets, asked, radius, near)
     there = _rows(near, 1, a=F.col("id"), b=F.col("s"), c=F.col("edge_id"), d=F.col("e"), u=F.col("w_s"), v=F.col("w_e"))
 
     def kernel(batches):
@@ -342,7 +348,7 @@ def distances(streets: Streets, origins: DataFrame, destinations: DataFrame, rad
                 yield from found.take()
         yield from found.take(0)
 
-    rows = _arc_rows(arcs, turns).unionByName(there).unionByName(_origin_rows(asked))
+    rows = _arc_rows(ways, turns).unionByName(there).unionByName(_origin_rows(asked))
     return _run(rows, kernel, "oid long, did long, dist double")
 
 
@@ -406,7 +412,7 @@ def paths(streets: Streets, origins: DataFrame, destinations: DataFrame, pairs:
     o, d = _features(origins, "oid"), _features(destinations, "did")
     asked = _anchored(pairs.join(o, pairs.oid == o.id).select("oid", "did", "dist", "edge_id", "s", "e", "w_s", "w_e"), streets).withColumn("id", F.xxhash64("oid", "did"))
     to = d.select(F.col("id").alias("did"), F.array("edge_id", "s", "e").alias("l"), F.array("w_s", "w_e").alias("z"))
-    arcs, asked, _ = _dealt(streets, asked.join(to, "did"), longest)
+    ways, asked, _ = _dealt(streets, asked.join(to, "did"), longest)
     asked = _rows(asked, 2, a=F.col("oid"), b=F.col("s"), c=F.col("did"), d=F.col("e"), u=F.col("w_s"), v=F.col("w_e"), p=F.col("dist"), z=F.col("z"), l=F.concat(F.col("l"), F.array("edge_id")))
 
     def kernel(batches):
@@ -427,7 +433,7 @@ def paths(streets: Streets, origins: DataFrame, destinations: DataFrame, pairs:
             yield from found.take()
         yield from found.take(0)
 
-    return _run(_arc_rows(arcs, turns).unionByName(asked), kernel, "oid long, did long, dist double, path_no int, cost double, path array<long>")
+    return _run(_arc_rows(ways, turns).unionByName(asked), kernel, "oid long, did long, dist double, path_no int, cost double, path array<long>")
 
 
 def path_edges(found: DataFrame) -> DataFrame:
