@@ -22,15 +22,23 @@ def geometry(kind: str | Column, parts: Column) -> Column:
     return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("type"), parts.alias("parts"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once: without it, nested expressions would grow without measure."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _distance(a: Column, b: Column) -> Column:
-    dx, dy = a["x"] - b["x"], a["y"] - b["y"]
-    return F.sqrt(dx * dx + dy * dy)
+    return _let(F.struct((a["x"] - b["x"]).alias("x"), (a["y"] - b["y"]).alias("y")), lambda v: F.sqrt(v["x"] * v["x"] + v["y"] * v["y"]))
 
 
 def _legs(coords: Column) -> Column:
     """The segments of a polyline: their ends and length."""
-    n = F.greatest(F.size(coords) - 1, F.lit(0))
-    return F.zip_with(F.slice(coords, 1, n), F.slice(coords, 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b"), _distance(a, b).alias("size")))
+
+    def made(c: Column) -> Column:
+        n = F.greatest(F.size(c) - 1, F.lit(0))
+        return F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b"), _distance(a, b).alias("size")))
+
+    return _let(coords, made)
 
 
 def segments(geom: Column) -> Column:
@@ -59,7 +67,7 @@ def end_points(coords: Column) -> tuple[Column, Column]:
 
 
 def _between(a: Column, b: Column, t: Column) -> Column:
-    return point(a["x"] + t * (b["x"] - a["x"]), a["y"] + t * (b["y"] - a["y"]))
+    return _let(t, lambda t: point(a["x"] + t * (b["x"] - a["x"]), a["y"] + t * (b["y"] - a["y"])))
 
 
 def interpolate(coords: Column, distance: Column) -> Column:
@@ -72,24 +80,27 @@ def interpolate(coords: Column, distance: Column) -> Column:
         here = F.when(state["at"].isNull() & inside, _between(leg["a"], leg["b"], t)).otherwise(state["at"])
         return F.struct((state["left"] - leg["size"]).alias("left"), here.alias("at"))
 
-    return F.coalesce(F.aggregate(_legs(coords), start, walk)["at"], F.try_element_at(coords, F.lit(-1)))
+    return _let(coords, lambda c: F.coalesce(F.aggregate(_legs(c), start, walk)["at"], F.try_element_at(c, F.lit(-1))))
 
 
 def midpoint(coords: Column) -> Column:
-    return interpolate(coords, length(coords) / 2)
+    return _let(coords, lambda c: interpolate(c, length(c) / 2))
 
 
 def _share_on(p: Column, a: Column, b: Column) -> Column:
     """Where on a-b, 0 to 1, the point nearest to p lies."""
-    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-    norm = dx * dx + dy * dy
-    t = ((p["x"] - a["x"]) * dx + (p["y"] - a["y"]) * dy) / norm
-    return F.when(norm > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))).otherwise(0.0)
+
+    def share(d: Column) -> Column:
+        t = ((p["x"] - a["x"]) * d["x"] + (p["y"] - a["y"]) * d["y"]) / d["n"]
+        return F.when(d["n"] > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))).otherwise(0.0)
+
+    step = F.struct((b["x"] - a["x"]).alias("x"), (b["y"] - a["y"]).alias("y"))
+    return _let(_let(step, lambda d: F.struct(d["x"].alias("x"), d["y"].alias("y"), (d["x"] * d["x"] + d["y"] * d["y"]).alias("n"))), share)
 
 
 def point_to_segment(p: Column, a: Column, b: Column) -> Column:
     """Distance of a point from a segment."""
-    return _distance(p, _between(a, b, _share_on(p, a, b)))
+    return _let(_between(a, b, _share_on(p, a, b)), lambda q: _distance(p, q))
 
 
 def segment_distance(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -105,37 +116,40 @@ def project(coords: Column, p: Column) -> Column:
 
     def walk(state, leg):
         t = _share_on(p, leg["a"], leg["b"])
-        gap = _distance(p, _between(leg["a"], leg["b"], t))
-        closer = gap < state["gap"]
-        return F.struct((state["before"] + leg["size"]).alias("before"), F.when(closer, gap).otherwise(state["gap"]).alias("gap"), F.when(closer, state["before"] + t * leg["size"]).otherwise(state["along"]).alias("along"))
+        found = _let(t, lambda t: F.struct(_distance(p, _between(leg["a"], leg["b"], t)).alias("gap"), (state["before"] + t * leg["size"]).alias("along")))
+        closest = _let(found, lambda n: F.when(n["gap"] < state["gap"], n).otherwise(F.struct(state["gap"].alias("gap"), state["along"].alias("along"))))
+        return _let(closest, lambda n: F.struct((state["before"] + leg["size"]).alias("before"), n["gap"].alias("gap"), n["along"].alias("along")))
 
     return F.aggregate(_legs(coords), start, walk)["along"]
 
 
 def cut(coords: Column, distance: Column) -> Column:
     """A polyline cut in two at ``distance``: struct<first, second>, the cut point in both."""
-    at = interpolate(coords, distance)
     start = F.struct(F.lit(0.0).alias("along"), F.lit(0).alias("n"))
 
     def count(state, leg):
-        along = state["along"] + leg["size"]
-        return F.struct(along.alias("along"), (state["n"] + F.when(along <= distance, 1).otherwise(0)).alias("n"))
+        return _let(state["along"] + leg["size"], lambda along: F.struct(along.alias("along"), (state["n"] + F.when(along <= distance, 1).otherwise(0)).alias("n")))
 
-    n = F.aggregate(_legs(coords), start, count)["n"]  # legs that end before the cut
-    first = F.concat(F.slice(coords, F.lit(1), n + 1), F.array(at))
-    second = F.concat(F.array(at), F.slice(coords, n + 2, F.greatest(F.size(coords) - n - 1, F.lit(0))))
-    return F.struct(first.alias("first"), second.alias("second"))
+    def parts(c: Column, m: Column) -> Column:
+        first = F.concat(F.slice(c, F.lit(1), m["n"] + 1), F.array(m["at"]))
+        second = F.concat(F.array(m["at"]), F.slice(c, m["n"] + 2, F.greatest(F.size(c) - m["n"] - 1, F.lit(0))))
+        return F.struct(first.alias("first"), second.alias("second"))
+
+    # n legs end before the cut
+    return _let(coords, lambda c: _let(F.struct(interpolate(c, distance).alias("at"), F.aggregate(_legs(c), start, count)["n"].alias("n")), lambda m: parts(c, m)))
 
 
 def centroid(geom: Column) -> Column:
     """Mean of points; of lines (and of rings, which stand for polygons) the mean of their legs' middles by length."""
-    points = F.flatten(geom["parts"])
-    legs = segments(geom)
-    total = F.aggregate(legs, F.lit(0.0), lambda s, leg: s + leg["size"])
-    middle = lambda c: F.aggregate(legs, F.lit(0.0), lambda s, leg: s + leg["size"] * (leg["a"][c] + leg["b"][c]) / 2) / total
-    mean = lambda c: F.aggregate(points, F.lit(0.0), lambda s, p: s + p[c]) / F.size(points)
-    is_line = ~geom["type"].isin("Point", "MultiPoint") & (total > 0)
-    return F.when(F.size(points) > 0, F.when(is_line, point(middle("x"), middle("y"))).otherwise(point(mean("x"), mean("y"))))
+    none = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+    def add(s: Column, n: Column, x: Column, y: Column) -> Column:
+        return F.struct((s["n"] + n).alias("n"), (s["x"] + n * x).alias("x"), (s["y"] + n * y).alias("y"))
+
+    lines = F.aggregate(segments(geom), none, lambda s, leg: add(s, leg["size"], (leg["a"]["x"] + leg["b"]["x"]) / 2, (leg["a"]["y"] + leg["b"]["y"]) / 2))
+    points = F.aggregate(F.flatten(geom["parts"]), none, lambda s, p: add(s, F.lit(1.0), p["x"], p["y"]))
+    by_length = _let(lines, lambda s: F.when(~geom["type"].isin("Point", "MultiPoint") & (s["n"] > 0), s))
+    return _let(F.coalesce(by_length, points), lambda s: F.when(s["n"] > 0, point(s["x"] / s["n"], s["y"] / s["n"])))
 
 
 def bearing(a: Column, b: Column) -> Column:
@@ -157,14 +171,17 @@ def clip_span(a: Column, b: Column, hull: Column) -> Column:
     start = F.struct(F.lit(0.0).alias("t0"), F.lit(1.0).alias("t1"))
 
     def bound(state, side):
-        u, v = inward(side["a"], side["b"], a), inward(side["a"], side["b"], b)
-        t = u / (u - v)
-        t0 = F.when((u < 0) & (v < 0), 2.0).when(u < 0, F.greatest(state["t0"], t)).otherwise(state["t0"])
-        t1 = F.when((u >= 0) & (v < 0), F.least(state["t1"], t)).otherwise(state["t1"])
-        return F.struct(t0.alias("t0"), t1.alias("t1"))
-
-    span = F.aggregate(_legs(corners), start, bound)
-    return F.when((F.size(hull) >= 3) & (span["t0"] < span["t1"]), span)
+        at = F.struct(inward(side["a"], side["b"], a).alias("u"), inward(side["a"], side["b"], b).alias("v"))
+
+        def narrowed(w):
+            u, v = w["u"], w["v"]
+            t0 = F.when((u < 0) & (v < 0), 2.0).when(u < 0, F.greatest(state["t0"], u / (u - v))).otherwise(state["t0"])
+            t1 = F.when((u >= 0) & (v < 0), F.least(state["t1"], u / (u - v))).otherwise(state["t1"])
+            return F.struct(t0.alias("t0"), t1.alias("t1"))
+
+        return _let(at, narrowed)
+
+    return _let(F.aggregate(_legs(corners), start, bound), lambda span: F.when((F.size(hull) >= 3) & (span["t0"] < span["t1"]), span))
 
 
 def mercator_to_degrees(p: Column) -> Column:

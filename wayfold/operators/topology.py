@@ -54,10 +54,13 @@ def _cell(c: str, size: float) -> Column:
     return F.floor(F.col(c) / size)
 
 
+#: A cell and the eight around it. Long expressions are written as SQL text here: each step of a Column costs a call.
+AROUND = "inline(array(" + ", ".join(f"struct(cx + ({i}) AS cx, cy + ({j}) AS cy)" for i in (-1, 0, 1) for j in (-1, 0, 1)) + "))"
+
+
 def _beside(df: DataFrame) -> DataFrame:
     """Every row in its own cell and the eight around it."""
-    cells = F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    return df.select(*[c for c in df.columns if c not in ("cx", "cy")], F.inline(cells))
+    return df.selectExpr(*[f"`{c}`" for c in df.columns if c not in ("cx", "cy")], AROUND)
 
 
 def within(streets: DataFrame, tolerance: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -141,12 +144,27 @@ def _cells(df: DataFrame, cell: float) -> DataFrame:
 
     Long segments are covered piece by piece, so an oblique one takes cells in proportion to its length.
     """
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    pieces = F.greatest(F.ceil(F.sqrt(dx * dx + dy * dy) / cell), F.lit(1))
-    df = df.withColumn("_n", pieces).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    a, b = F.col("_k") / F.col("_n"), (F.col("_k") + 1) / F.col("_n")
-    span = lambda c, d: F.sequence(F.floor(F.least(F.col(c) + a * d, F.col(c) + b * d) / cell), F.floor(F.greatest(F.col(c) + a * d, F.col(c) + b * d) / cell))
-    return df.withColumn("cx", F.explode(span("x1", dx))).withColumn("cy", F.explode(span("y1", dy))).drop("_n", "_k")
+    pieces = f"greatest(ceil(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) / {cell!r}D), 1L)"
+    df = df.selectExpr("*", f"{pieces} AS _n").selectExpr("*", "explode(sequence(0L, _n - 1)) AS _k")
+    ends = lambda c: (f"{c}1 + _k / _n * ({c}2 - {c}1)", f"{c}1 + (_k + 1) / _n * ({c}2 - {c}1)")
+    span = lambda c: "sequence(floor(least({0}, {1}) / {2!r}D), floor(greatest({0}, {1}) / {2!r}D))".format(*ends(c), cell)
+    return df.selectExpr("*", f"explode({span('x')}) AS cx").selectExpr("*", f"explode({span('y')}) AS cy").drop("_n", "_k")
+
+
+def _share(p: str, a: str, b: str) -> str:
+    """Where on a-b, 0 to 1, the point nearest to p lies; points are named by their columns' first letter."""
+    n = f"(({b}x - {a}x) * ({b}x - {a}x) + ({b}y - {a}y) * ({b}y - {a}y))"
+    return f"CASE WHEN {n} > 0 THEN greatest(0D, least(1D, (({p}x - {a}x) * ({b}x - {a}x) + ({p}y - {a}y) * ({b}y - {a}y)) / {n})) ELSE 0D END"
+
+
+def _gap(p: str, a: str, b: str, t: str) -> str:
+    """Distance of p from the point at the share ``t`` of a-b."""
+    x, y = (f"({p}{c} - ({a}{c} + {t} * ({b}{c} - {a}{c})))" for c in "xy")
+    return f"sqrt({x} * {x} + {y} * {y})"
+
+
+def _side(p: str, q: str, r: str) -> str:
+    return f"(({q}x - {p}x) * ({r}y - {p}y) - ({q}y - {p}y) * ({r}x - {p}x))"
 
 
 def nearest_edge(features: DataFrame, edges: DataFrame, scratch: Scratch, cell: float | None = None) -> DataFrame:
@@ -168,17 +186,18 @@ def nearest_edge(features: DataFrame, edges: DataFrame, scratch: Scratch, cell:
         return features.sparkSession.createDataFrame([], schema)
     bounds += list(rest.agg(*reach(rest)).first())
     whole = 2 * max(max(bounds[1::2]) - min(bounds[::2]), 1e-9)
-    cell = cell or mean or whole
+    cell = cell or 2 * (mean or 0) or whole
     out = None
-    a, b, c, d = (G.point(F.col(p + "x"), F.col(p + "y")) for p in "abcd")
+    shares = [(p, *line, f"_{p}") for p, line in (("a", "pq"), ("b", "pq"), ("p", "ab"), ("q", "ab"))]
+    cross = f"{_side('a', 'b', 'p')} * {_side('a', 'b', 'q')} < 0 AND {_side('p', 'q', 'a')} * {_side('p', 'q', 'b')} < 0"
+    gap = f"CASE WHEN {cross} THEN 0D ELSE least({', '.join(_gap(*x) for x in shares)}) END"
     while True:
         last = cell >= whole
-        size = max(whole, 1e-9) if last else cell
-        mine = _beside(_cells(rest, size)).select("row", "cx", "cy", *[F.col(o).alias(n) for o, n in zip(sides, ("ax", "ay", "bx", "by"), strict=True)])
-        theirs = _cells(edges, size).select("edge_id", "cx", "cy", *[F.col(o).alias(n) for o, n in zip(sides, ("cx_", "cy_", "dx", "dy"), strict=True)])
-        met = mine.join(theirs.withColumnsRenamed({"cx_": "px", "cy_": "py"}), ["cx", "cy"])
-        gap = G.segment_distance(a, b, G.point(F.col("px"), F.col("py")), d)
-        best = met.groupBy("row").agg(F.min(F.struct(gap.alias("distance"), "edge_id")).alias("best")).select("row", "best.edge_id", "best.distance")
+        size = float(max(whole, 1e-9) if last else cell)
+        mine = _beside(_cells(rest, size).selectExpr("row", "cx", "cy", "x1 AS ax", "y1 AS ay", "x2 AS bx", "y2 AS by"))
+        theirs = _cells(edges, size).selectExpr("edge_id", "cx", "cy", "x1 AS px", "y1 AS py", "x2 AS qx", "y2 AS qy")
+        met = mine.join(theirs, ["cx", "cy"]).selectExpr("*", *[f"{_share(p, u, v)} AS {t}" for p, u, v, t in shares])
+        best = met.selectExpr("row", f"struct({gap} AS distance, edge_id) AS found").groupBy("row").agg(F.min("found").alias("best")).select("row", "best.edge_id", "best.distance")
         done = scratch.keep(best if last else best.where(F.col("distance") <= size))
         out = done if out is None else out.unionByName(done)
         if last:
@@ -206,8 +225,7 @@ def insert(features: DataFrame, edges: DataFrame, scratch: Scratch, weight: Colu
     theirs = ends(edges.select("edge_id", F.explode(G.segments(G.geometry("LineString", F.array("coords")))).alias("_leg")))
     best = nearest_edge(mine, theirs, scratch)
     found = rows.join(places.join(best, F.col("_row") == F.col("row")).drop("_row", "row"), "geometry").join(edges.select("edge_id", "s", "e", "w", "len", "coords"), "edge_id")
-    along = G.project(F.col("coords"), G.centroid(F.col("geometry")))
-    found = found.withColumn("_along", along)
+    found = found.withColumn("_middle", G.centroid(F.col("geometry"))).withColumn("_along", G.project(F.col("coords"), F.col("_middle")))
     w_s = F.when(F.col("len") > 0, F.col("w") * (F.col("_along") / F.col("len"))).otherwise(0.0)
     found = found.withColumn("w_s", w_s)
     return scratch.keep(found.select("source_id", "edge_id", "s", "e", "w_s", (F.col("w") - F.col("w_s")).alias("w_e"), "wt", G.interpolate(F.col("coords"), F.col("_along")).alias("at"), "distance"))

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wayfold import workflows
 from wayfold.functions import geometry, styling
-from wayfold.operators import access, flow, network, search
-from wayfold.plans import oracles
+from wayfold.operators import access, flow, network, search, topology
+from wayfold.plans import oracles, town, town_sql
 from wayfold.session import table
-from wayfold.sources.grid import STEP, Grid
+from wayfold.sources import pairings
+from wayfold.sources.grid import Grid
 
 RADIUS, BETA, ALPHA, DETOUR = 400.0, 0.003, 2.0, 1.15
-KNN, PLATEAU, TOLERANCE = [0.5, 0.25, 0.15, 0.1], 100.0, 20.0
+KNN, PLATEAU, TOLERANCE = [0.5, 0.25, 0.15, 0.1], 100.0, 51.0
 
 
 class World:
@@ -120,7 +122,8 @@ def nearest_edge(spark, sf_dir):
     side, k = w.grid.g * 100, F.col("c_custkey")
     points = table(spark, sf_dir, "customer").select(k.alias("id"), ((k * 7919) % side).cast("double").alias("x"), ((k * 104729) % side).cast("double").alias("y"))
     segments = _line(w).select("edge_id", F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.col("b.x").alias("x2"), F.col("b.y").alias("y2"))
-    return network.nearest_edge(points, segments, STEP, w.scratch)
+    points = points.select(F.col("id").alias("row"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    return topology.nearest_edge(points, segments, w.scratch).withColumnRenamed("row", "id")
 
 
 def endpoints_within_tolerance(spark, sf_dir):
@@ -225,16 +228,60 @@ def turn_penalty_distance(spark, sf_dir):
     return search.distances(w.streets, w.origins, w.destinations, RADIUS, search.Turns())
 
 
+def _painted(df, *names):
+    return df.select("p_partkey", *[F.round(F.col("color")[k], 6).alias(n) for k, n in enumerate(names)])
+
+
 def color_gradient(spark, sf_dir):
-    shared = styling.share(table(spark, sf_dir, "part"), F.col("p_size"), "level")
-    v = styling.heat(F.col("level"))
-    return shared.select("p_partkey", v[0].cast("int").alias("red"), v[1].cast("int").alias("green"))
+    return _painted(styling.color(table(spark, sf_dir, "part"), Grid(spark, sf_dir).scratch, "p_size", "gradient"), "red", "green", "blue")
 
 
 def color_quantile(spark, sf_dir):
-    grid = Grid(spark, sf_dir)
-    ranked = styling.percent_rank(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_size", "level", grid.scratch)
-    return ranked.select("p_partkey", F.round("level", 9).alias("level"))
+    return _painted(styling.color(table(spark, sf_dir, "part"), Grid(spark, sf_dir).scratch, "p_size", "quantile"), "red", "green", "blue")
+
+
+def color_categorical(spark, sf_dir):
+    given = {1: [10, 20, 30], 2: [40, 50, 60], styling.OTHER: [7, 8, 9]}
+    return _painted(styling.color(table(spark, sf_dir, "part"), Grid(spark, sf_dir).scratch, "p_size", given=given), "red", "green", "blue")
+
+
+def text_labels(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return part.select("p_partkey", styling.label(F.col("p_size"), "int").alias("size"), styling.label(F.col("p_name"), "string").alias("name"), styling.thousands(F.col("p_partkey") * 1001.7).alias("thousands"))
+
+
+def diagnostics_width(spark, sf_dir):
+    return styling.diagnostics_width(table(spark, sf_dir, "part"), F.col("p_size"), "width").select("p_partkey", F.round("width", 6).alias("width"))
+
+
+def web_map_degrees(spark, sf_dir):
+    at = geometry.mercator_to_degrees(geometry.point(F.col("x") * 1000, F.col("y") * -1000))
+    return Grid(spark, sf_dir).nodes().select("node", F.round(at["x"], 7).alias("longitude"), F.round(at["y"], 7).alias("latitude"))
+
+
+def node_bearing(spark, sf_dir):
+    a, b = geometry.point(F.lit(500.0), F.lit(300.0)), geometry.point(F.col("x"), F.col("y"))
+    return Grid(spark, sf_dir).nodes().select("node", F.round(geometry.bearing(a, b), 7).alias("bearing"))
+
+
+def knn_totals(spark, sf_dir):
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(k.alias("id"), (k % 7).cast("double").alias("a"), F.when(k % 11 > 0, (k % 5).cast("double")).alias("b"))
+    return workflows.totals(rows, ["a", "b"]).select("id", "total_knn_access", F.round("normalized_knn_access", 6).alias("normalized_knn_access"))
+
+
+def pairing_changes(spark, sf_dir):
+    k = F.col("n_nationkey")
+    rows = table(spark, sf_dir, "nation").select(k.cast("long").alias("row"), F.col("n_regionkey").cast("string").alias("Network_File"), F.when(k % 5 > 0, (F.floor(k / 2) % 3).cast("string")).alias("Network_Cost"))
+    return pairings.changes(rows).select("row", "new_streets", "new_network")
+
+
+def flow_error_summary(spark, sf_dir):
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    simulated = part.select(k.alias("id"), F.when(k % 17 > 0, F.col("p_size")).otherwise(0).cast("double").alias("betweenness"))
+    golden = part.where(k % 13 > 0).select(k.alias("id"), F.when(k % 34 > 0, F.col("p_size") * (100 + k % 7 - 3) / 100).otherwise(0.0).alias("betweenness"))
+    out = flow.error_summary(simulated, golden, "id")
+    return out.select(*[F.round(c, 6).alias(c) if c in ("golden_sum", "median_error") else F.col(c) for c in out.columns])
 
 
 def radius_scale(spark, sf_dir):
@@ -246,7 +293,7 @@ def flow_width(spark, sf_dir):
 
 
 def queries() -> dict:
-    plain = (street_cost_rule, network_nodes_exact, edges_discard, edges_split, edges_keep, edge_tags, attach_origins, attach_destinations, edge_chain, line_length, nearest_edge, endpoints_within_tolerance, node_scope, od_distance, reach, gravity, gravity_alpha, knn_access, knn_weight, closest_destination, top_k_destinations, closest_facility, closest_facility_reach, service_area_destinations, alternative_paths, huff_probability, betweenness_elastic, betweenness_origin_stats, path_exposure, turn_penalty_distance, color_gradient, color_quantile, radius_scale, flow_width)
+    plain = (street_cost_rule, network_nodes_exact, edges_discard, edges_split, edges_keep, edge_tags, attach_origins, attach_destinations, edge_chain, line_length, nearest_edge, endpoints_within_tolerance, node_scope, od_distance, reach, gravity, gravity_alpha, knn_access, knn_weight, closest_destination, top_k_destinations, closest_facility, closest_facility_reach, service_area_destinations, alternative_paths, huff_probability, betweenness_elastic, betweenness_origin_stats, path_exposure, turn_penalty_distance, color_gradient, color_quantile, color_categorical, text_labels, diagnostics_width, web_map_degrees, node_bearing, knn_totals, pairing_changes, flow_error_summary, radius_scale, flow_width)
     flows = {
         "betweenness_closest": _flow(True, 1.0, None),
         "betweenness_huff": _flow(False, 1.0, None),
@@ -254,8 +301,8 @@ def queries() -> dict:
         "betweenness_decay_power": _flow(False, 1.0, "power"),
         "betweenness_detour": _flow(False, DETOUR, "exponent"),
     }
-    return {q.__name__: q for q in plain} | flows
+    return {q.__name__: q for q in plain} | flows | town.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.sql()
+    return oracles.sql() | town_sql.sql()

@@ -90,7 +90,7 @@ def sql() -> dict[str, str]:
           UNION ALL SELECT top + 2 * street_id, street_id, s, n + street_id, w / 2, len / 2 FROM r WHERE rn > 1
           UNION ALL SELECT top + 2 * street_id + 1, street_id, n + street_id, e, w / 2, len / 2 FROM r WHERE rn > 1""",
         "edges_keep": grid + f"SELECT street_id, MAX(street_id) OVER ({PAIR}) = street_id AS used FROM g_street",
-        "edge_tags": grid + f"SELECT street_id, CASE WHEN COUNT(*) OVER ({PAIR}) > 1 THEN 'redundant_edge' WHEN s = e THEN 'cycle' WHEN len < 20 THEN 'under_tolerance' WHEN len < 60 THEN 'near_tolerance' ELSE 'good' END AS tag FROM g_street",
+        "edge_tags": grid + f"SELECT street_id, CASE WHEN COUNT(*) OVER ({PAIR}) > 1 THEN 'redundant_edge' WHEN cost < 51 THEN 'shorter than tolerance' WHEN cost < 153 THEN 'within 3x tolerance' WHEN s = e THEN 'cycle_edge' ELSE '' END AS tag FROM g_street",
         "attach_origins": grid + "SELECT oid, edge_id, w_s, w_e, wt FROM o",
         "attach_destinations": grid + "SELECT did, edge_id, w_s, w_e, wt FROM d",
         "edge_chain": grid + "SELECT edge_id, oid, CAST(ROW_NUMBER() OVER k AS INTEGER) AS place, w_s - COALESCE(LAG(w_s) OVER k, 0) AS gap FROM o WINDOW k AS (PARTITION BY edge_id ORDER BY w_s, oid)",
@@ -136,8 +136,18 @@ def sql() -> dict[str, str]:
             SELECT sc.oid, x.did, sc.cost + n.pen + x.c AS dist FROM sc JOIN tn n ON n.a = sc.a AND n.b = sc.b
               JOIN (SELECT did, s AS node, e AS other, w_s AS c FROM d UNION ALL SELECT did, e, s, w_e FROM d) x ON x.node = n.b AND x.other = n.c
             UNION ALL SELECT o.oid, d.did, ABS(o.w_e - d.w_e) FROM o JOIN d USING (edge_id)) WHERE dist <= 400 GROUP BY 1, 2""",
-        "color_gradient": "SELECT p_partkey, 255 - v AS red, v AS green FROM (SELECT p_partkey, CAST(FLOOR((p_size - MIN(p_size) OVER ()) / (MAX(p_size) OVER () - MIN(p_size) OVER ()) * 255) AS INTEGER) AS v FROM part)",
-        "color_quantile": "SELECT p_partkey, ROUND((RANK() OVER (ORDER BY p_size) + (COUNT(*) OVER (PARTITION BY p_size) - 1) / 2) / COUNT(*) OVER (), 9) AS level FROM part",
+        "color_gradient": "SELECT p_partkey, ROUND(255 - v, 6) AS red, ROUND(v, 6) AS green, 0::DOUBLE AS blue FROM (SELECT p_partkey, (p_size - MIN(p_size) OVER ()) / (MAX(p_size) OVER () - MIN(p_size) OVER ()) * 255.0::DOUBLE AS v FROM part)",
+        "color_quantile": "SELECT p_partkey, ROUND(255 - v, 6) AS red, ROUND(v, 6) AS green, 0::DOUBLE AS blue FROM (SELECT p_partkey, (RANK() OVER (ORDER BY p_size) + (COUNT(*) OVER (PARTITION BY p_size) - 1) / 2) / COUNT(*) OVER () * 255.0::DOUBLE AS v FROM part)",
+        "color_categorical": "SELECT p_partkey, CASE p_size WHEN 1 THEN 10 WHEN 2 THEN 40 ELSE 7 END::DOUBLE AS red, CASE p_size WHEN 1 THEN 20 WHEN 2 THEN 50 ELSE 8 END::DOUBLE AS green, CASE p_size WHEN 1 THEN 30 WHEN 2 THEN 60 ELSE 9 END::DOUBLE AS blue FROM part",
+        "text_labels": "SELECT p_partkey, CAST(p_size AS VARCHAR) AS size, p_name AS name, FORMAT('{:,}', CAST(FLOOR(p_partkey * 1001.7::DOUBLE) AS BIGINT)) AS thousands FROM part",
+        "diagnostics_width": "SELECT p_partkey, ROUND(((p_size - MIN(p_size) OVER ()) / (MAX(p_size) OVER () - MIN(p_size) OVER ()) + 0.1::DOUBLE) * 5, 6) AS width FROM part",
+        "web_map_degrees": grid + "SELECT node, ROUND(DEGREES(x * 1000 / 6378137.0::DOUBLE), 7) AS longitude, ROUND(DEGREES(2 * ATAN(EXP(y * -1000 / 6378137.0::DOUBLE)) - PI() / 2), 7) AS latitude FROM g_at",
+        "node_bearing": grid + "SELECT node, ROUND(CASE WHEN a < 0 THEN a + 2 * PI() ELSE a END, 7) AS bearing FROM (SELECT node, ATAN2(x - 500::DOUBLE, y - 300::DOUBLE) AS a FROM g_at)",
+        "knn_totals": "SELECT id, t AS total_knn_access, ROUND((t - MIN(t) OVER ()) / (MAX(t) OVER () - MIN(t) OVER ()), 6) AS normalized_knn_access FROM (SELECT c_custkey AS id, CAST(c_custkey % 7 + CASE WHEN c_custkey % 11 > 0 THEN c_custkey % 5 ELSE 0 END AS DOUBLE) AS t FROM customer)",
+        "pairing_changes": "SELECT r AS row, f IS DISTINCT FROM pf OR n = 1 AS new_streets, f IS DISTINCT FROM pf OR c IS DISTINCT FROM pc OR n = 1 AS new_network FROM (SELECT *, LAG(f) OVER (ORDER BY r) AS pf, LAG(c) OVER (ORDER BY r) AS pc, ROW_NUMBER() OVER (ORDER BY r) AS n FROM (SELECT CAST(n_nationkey AS BIGINT) AS r, n_regionkey AS f, CASE WHEN n_nationkey % 5 > 0 THEN (n_nationkey // 2) % 3 END AS c FROM nation))",
+        "flow_error_summary": """WITH b AS (SELECT CASE WHEN p_partkey % 17 > 0 THEN p_size ELSE 0 END::DOUBLE AS s, CASE WHEN p_partkey % 13 > 0 THEN CASE WHEN p_partkey % 34 > 0 THEN p_size * (100 + p_partkey % 7 - 3) / 100 ELSE 0 END::DOUBLE END AS g FROM part),
+          x AS (SELECT s, g, CASE WHEN s <> 0 THEN ABS(s - g) / ABS(s) * 100 WHEN ABS(s - g) > 0 THEN 'inf'::DOUBLE END AS gap FROM b)
+          SELECT SUM(s) AS flow_sum, ROUND(SUM(g), 6) AS golden_sum, AVG(gap) AS mean_error, ROUND(MEDIAN(gap), 6) AS median_error, MAX(gap) AS max_error, COUNT(*) FILTER (gap > 0.1) AS over_0_1, COUNT(*) FILTER (gap > 1) AS over_1, COUNT(*) FILTER (gap > 3) AS over_3, COUNT(*) FILTER (gap > 5) AS over_5 FROM x""",
         "radius_scale": "SELECT p_partkey, ROUND(5 + 5 * (p_size - MIN(p_size) OVER ()) / (MAX(p_size) OVER () - MIN(p_size) OVER ()), 6) AS radius FROM part",
         "flow_width": "SELECT p_partkey, ROUND(p_size / MAX(p_size) OVER () * 40 + 0.5, 6) AS width FROM part",
     }

@@ -14,19 +14,26 @@ RADIUS, BETA, DETOUR, NEAR, APART = 400.0, 0.003, 1.15, 1.0, 0.5
 KNN, PLATEAU = "[.5, .25, .15, .1]", 100.0
 
 
-def ready(spark, sf_dir, features: bool = True) -> Workspace:
+#: The last town that was made ready: its network serves all queries on it.
+_made: dict[tuple[str, str], Workspace] = {}
+
+
+def ready(spark, sf_dir) -> Workspace:
     """The town as a workspace: streets, homes as origins and shops as destinations on its network."""
-    town, w = Town(spark, sf_dir), Workspace(spark)
-    line = G.geometry("LineString", F.array("coords"))
-    w.load_layer("streets", town.streets().select(F.col("street_id").alias("id"), F.col("w").alias("cost"), (F.col("street_id") % 11).cast("double").alias("heat"), line.alias("geometry")))
-    w.create_street_network("streets", "cost", NEAR)
-    if features:
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _made:
+        town, w = Town(spark, sf_dir), Workspace(spark)
+        line = G.geometry("LineString", F.array("coords"))
+        w.load_layer("streets", town.streets().select(F.col("street_id").alias("id"), F.col("w").alias("cost"), (F.col("street_id") % 11).cast("double").alias("heat"), line.alias("geometry")))
+        w.create_street_network("streets", "cost", NEAR)
         w.load_layer("homes", town.homes())
         w.load_layer("shops", town.shops())
         w.insert_node("homes", "origin", "wt")
         w.insert_node("shops", "destination", "wt")
         w.create_graph()
-    return w
+        _made.clear()
+        _made[key] = w
+    return _made[key].copy()
 
 
 def _rounded(df, *names, digits=6):

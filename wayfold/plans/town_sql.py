@@ -154,7 +154,7 @@ def sql() -> dict[str, str]:
         "tool_alternative_paths": f"WITH RECURSIVE {NETWORK}{oracles._paths('(SELECT *, 1.0::DOUBLE AS p_dest FROM p WHERE oid = (SELECT MIN(oid) FROM o))', 1.15)} SELECT did AS destination, ROUND(cost, 6) AS distance, array_to_string(path, ',') AS edges, ROUND(SUM(n1 + n2), 6) AS drawn FROM (SELECT did, cost, path, UNNEST(path) AS edge_id FROM paths) JOIN g_edge USING (edge_id) GROUP BY did, cost, path",
         "service_area_hull": pairs.rstrip() + HULLS + " SELECT oid AS source_id, kind, x, y FROM corner",
         "service_area_streets": pairs.rstrip() + HULLS + CLIP
-        + """ SELECT oid AS origin_id, ROUND(SUM(len * (part - both)), 4) AS length FROM (
-            SELECT oid, edge_id, n, len, SUM(t1 - t0) AS part, CASE WHEN COUNT(*) = 2 THEN GREATEST(0, MIN(t1) - MAX(t0)) ELSE 0 END AS both FROM span GROUP BY 1, 2, 3, 4) GROUP BY 1""",
+        + """ SELECT oid AS origin_id, ROUND(SUM(len * (part - twice)), 4) AS length FROM (
+            SELECT oid, edge_id, n, len, SUM(t1 - t0) AS part, CASE WHEN COUNT(*) = 2 THEN GREATEST(0, MIN(t1) - MAX(t0)) ELSE 0 END AS twice FROM span GROUP BY 1, 2, 3, 4) GROUP BY 1""",
         "service_area_tool": pairs + "SELECT DISTINCT oid AS id, name FROM p, (VALUES ('service area border'), ('origin')) v(name) UNION ALL SELECT DISTINCT did, 'destination' FROM p",
     }

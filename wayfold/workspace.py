@@ -6,6 +6,8 @@ A facade over immutable DataFrames; every method that changes something replaces
 from __future__ import annotations
 
 import random
+from copy import copy
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,6 +117,14 @@ class Workspace:
     def __getitem__(self, name: str | int) -> Layer:
         return self.layers[name]
 
+    def copy(self) -> Workspace:
+        """A workspace of the same layers and network; results saved in one are not seen in the other."""
+        out = copy(self)
+        out.layers = Layers()
+        for name in self.layers:
+            out.layers.add(replace(self.layers[name]))
+        return out
+
     def load_layer(self, name: str, source: str | DataFrame, pos: int | None = None, first: bool = False, before: str | None = None, after: str | None = None, crs: str | None = None) -> Layer:
         """Add a layer from a GeoJSON file, a Parquet table or a DataFrame.
 
