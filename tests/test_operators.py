@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfold.functions import geometry, styling
-from wayfold.operators import access, network, routes
+from wayfold.operators import access, network, routes, search
 from wayfold.session import Scratch
 
 EDGES = "edge_id bigint, s bigint, e bigint, w double"
@@ -15,33 +15,43 @@ def features(spark, key, *rows):
     return spark.createDataFrame(list(rows), FEATURE.format(key))
 
 
+def streets(spark, *edges):
+    """A network whose nodes lie 10 apart on a line, by number."""
+    made = spark.createDataFrame(list(edges), EDGES)
+    return search.Streets(made, spark.createDataFrame([(n, 10.0 * n, 0.0) for n in range(10)], "node long, x double, y double"), Scratch(spark))
+
+
 def test_same_edge_distance_and_path(spark):
-    edges = spark.createDataFrame([(0, 0, 1, 10.0)], EDGES)
+    net = streets(spark, (0, 0, 1, 10.0))
     o, d = features(spark, "oid", (1, 0, 0, 1, 2.0, 8.0, 1.0)), features(spark, "did", (7, 0, 0, 1, 5.0, 5.0, 1.0))
-    scratch = Scratch(spark)
-    scope = routes.relax(network.arcs(edges), network.entries(o, "oid").select("oid", "node", "cost"), 50.0, scratch)
-    pairs = routes.distances(scope, o, d, 50.0)
+    pairs = search.distances(net, o, d, 50.0)
     assert [tuple(r) for r in pairs.collect()] == [(1, 7, 3.0)]
-    paths = routes.simple_paths(edges, o, d, pairs, 1.15, 50.0, scratch)
-    assert [(r.cost, r.path) for r in paths.collect()] == [(3.0, [0])]
+    assert [(r.cost, r.path) for r in search.paths(net, o, d, pairs, 1.15, 50.0).collect()] == [(3.0, [0])]
 
 
 def test_square_has_two_ways_within_a_detour(spark):
-    edges = spark.createDataFrame([(0, 0, 1, 10.0), (1, 1, 2, 10.0), (2, 2, 3, 10.0), (3, 3, 0, 10.0)], EDGES)
+    net = streets(spark, (0, 0, 1, 10.0), (1, 1, 2, 10.0), (2, 2, 3, 10.0), (3, 3, 0, 10.0))
     o, d = features(spark, "oid", (1, 0, 0, 1, 5.0, 5.0, 1.0)), features(spark, "did", (7, 2, 2, 3, 5.0, 5.0, 1.0))
     pairs = spark.createDataFrame([(1, 7, 20.0)], "oid bigint, did bigint, dist double")
-    paths = routes.simple_paths(edges, o, d, pairs, 1.0, 50.0, Scratch(spark))
-    assert sorted(r.path for r in paths.collect()) == [[0, 1, 2], [0, 3, 2]]
-
-
-def test_unreachable_and_empty(spark):
-    edges = spark.createDataFrame([(0, 0, 1, 10.0), (1, 5, 6, 10.0)], EDGES)
-    o, d = features(spark, "oid", (1, 0, 0, 1, 5.0, 5.0, 1.0)), features(spark, "did", (7, 1, 5, 6, 5.0, 5.0, 1.0))
-    scratch = Scratch(spark)
-    scope = routes.relax(network.arcs(edges), network.entries(o, "oid").select("oid", "node", "cost"), 100.0, scratch)
-    pairs = access.with_weights(routes.distances(scope, o, d, 100.0), d)
-    assert access.on_origins(o, access.reach(pairs), "reach").collect()[0].reach == 0.0
-    assert routes.relax(network.arcs(edges), network.entries(o, "oid").filter("false").select("oid", "node", "cost"), 9.0, scratch).count() == 0
+    assert sorted(r.path for r in search.paths(net, o, d, pairs, 1.0, 50.0).collect()) == [[0, 1, 2], [0, 3, 2]]
+
+
+def test_unreachable_empty_and_missing(spark):
+    net = streets(spark, (0, 0, 1, 10.0), (1, 5, 6, 10.0), (2, 1, 5, None))
+    o, d = features(spark, "oid", (1, 0, 0, 1, 5.0, 5.0, 1.0), (2, 0, 0, 1, None, None, 1.0)), features(spark, "did", (7, 1, 5, 6, 5.0, 5.0, 1.0))
+    pairs = access.with_weights(search.distances(net, o, d, 100.0), d)
+    assert [r.reach for r in access.on_origins(o, access.reach(pairs), "reach").collect()] == [0.0, 0.0]
+    assert search.scope(net, o.limit(0), 9.0).count() == 0 and search.distances(net, o, d.limit(0), 9.0).count() == 0
+    assert {(r.node, r.cost) for r in search.scope(net, o, 9.0).collect()} == {(0, 5.0), (1, 5.0)}
+
+
+def test_rounds_and_tiles_agree(spark, sf):
+    from wayfold.plans.catalogue import RADIUS, World
+
+    w = World(spark, sf)
+    seeds = network.entries(w.origins, "oid").select("oid", "node", "cost")
+    rounds = routes.relax(network.arcs(w.edges), seeds, RADIUS, w.scratch)
+    assert sorted(map(tuple, rounds.collect())) == sorted(map(tuple, search.scope(w.streets, w.origins, RADIUS).collect()))
 
 
 def test_geometry(spark):

@@ -72,8 +72,8 @@ def _columns(features: DataFrame, taken: set[str]) -> list[F.Column]:
             name = f"{r['key']}_{n}"
         taken.add(name.lower())
         kind = "double" if r["kind"].startswith("DECIMAL") else TYPES.get(r["kind"], "string")
-        path = r["key"].replace("\\", "\\\\").replace("'", "\\'").replace('"', '\\"')
-        out.append(F.try_variant_get(F.col("properties"), f'$["{path}"]', kind).alias(name))
+        path = f"$['{r['key']}']" if '"' in r["key"] else f'$["{r["key"]}"]'
+        out.append(F.try_variant_get(F.col("properties"), path, kind).alias(name))
     return out
 
 
