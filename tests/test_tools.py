@@ -45,9 +45,9 @@ def test_square(square):
     assert {r.id: (r.home, r.far) for r in w["shops"].df.collect()} == {20: (10, 100.0), 21: (11, 100.0)}
     found = tools.alternative_paths(w, 10, 250, 3.0).collect()
     assert [(r.destination, r.distance, r.edges) for r in found] == [(20, 100.0, [0, 1]), (21, 200.0, [0, 1, 3]), (21, 200.0, [0, 2, 3]), (20, 300.0, [0, 2, 3, 1])]
-    flows = tools.betweenness(w, 250, closest_destination=False, beta=0.0, save_betweenness_as="flow", save_reach_as="reach", keep_diagnostics=True)
+    tools.betweenness(w, 250, closest_destination=False, beta=0.0, save_betweenness_as="flow", save_reach_as="reach", keep_diagnostics=True)
     assert {r.id: r.flow for r in w["streets"].df.collect()} == {0: 2.0, 1: 2.0, 2: 0.0, 3: 0.0, 4: 0.0}
-    assert {r.id: (r.reach, r.flow_path_count) for r in w["homes"].df.collect()} == {10: (2, 3), 11: (0, None)} and flows.trips.count() == 1 + 2 or True
+    assert {r.id: (r.reach, r.flow_path_count) for r in w["homes"].df.collect()} == {10: (2, 3), 11: (0, None)}
     hit, pieces, scopes = tools.service_area(w, 200, [10])
     assert sorted(r.id for r in hit.collect()) == [20, 21] and sorted(r.name for r in scopes.collect()) == ["origin", "service area border"]
     assert 4 not in {r.edge_id for r in pieces.collect()}  # the tip of the dead end belongs to no area

@@ -81,9 +81,9 @@ def read(spark: SparkSession, path: str, scratch: Scratch | None = None) -> tupl
     """(id, geometry, a column for each property) in file order, and the name of the coordinate system."""
     scratch = scratch or Scratch(spark)
     if path.lower().endswith(BY_LINE):
-        rows = spark.read.schema(FEATURE).json(path).select("properties", "geometry", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_line"))
+        rows = spark.read.schema(FEATURE).json(path).select("properties", "geometry", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
         rows = rows.where("properties is not null or geometry is not null")
-        rows = running(rows.select("_file", "_start", "_line", "properties", "geometry"), ["_file", "_start", "_line"], F.lit(1), "id", scratch)
+        rows = running(rows.select("_file", "_block", "_line", "properties", "geometry"), ["_file", "_block", "_line"], F.lit(1), "id", scratch)
         stated = None
     else:
         whole = spark.read.schema(f"{FEATURE}, crs variant, features array<struct<type:string,properties:variant,geometry:struct<type:string,coordinates:variant>>>").option("multiLine", True).json(path)
