@@ -8,7 +8,8 @@ window (positional and length bounds), and verifies the window's words exactly.
 
 Documents never shuffle. What the workers hold is the index of a slice of the benchmark of at most
 ``SLICE_BYTES`` of text; a larger benchmark is worked through slice by slice, the spans found so far
-carried along with each row, so the result does not depend on the benchmark's size.
+carried along with each row, so the result does not depend on the benchmark's size. The words of all
+slices are counted in one pass.
 
 Null text: no words. Null item_id or item text without words: no window. Items that repeat an id
 count once. Null doc_id and repeated rows each return their row. Empty tables: nothing is hit. Other
@@ -33,6 +34,8 @@ from wayfold.session import Scratch
 WIDTH = 8
 MIN_ITEMS = 2
 SLICE_BYTES = 8 << 20
+#: Distinct words that a task counts before it hands them on.
+HELD = 1 << 19
 #: Capitals to small letters, and every other ASCII byte that is no letter or digit to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -117,45 +120,74 @@ def merged(spans: list[int]) -> list[int]:
     return out
 
 
-def rarity(docs: DataFrame, vocabulary: set[bytes]) -> Counter:
-    """How often each word of a slice's vocabulary occurs in all documents; counts are summed per task first."""
-
-    texts_per_batch(docs.sparkSession)
+def _word_counts(texts: DataFrame, among: set[bytes] | None = None) -> DataFrame:
+    """(word, n) over all ``texts``, of the words ``among`` or of all; counts are summed in each task first, ``HELD`` words at a time."""
+    texts_per_batch(texts.sparkSession)
 
     def run(batches):
         counts: Counter = Counter()
+
+        def take():
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 for block in word_blocks(t):
-                    counts.update(w for w in block if w in vocabulary)
+                    counts.update(block if among is None else [w for w in block if w in among])
+                    if len(counts) >= HELD:
+                        yield take()
+                        counts.clear()
         if counts:
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+            yield take()
+
+    return texts.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    return Counter(dict(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist(), strict=True)))
+
+def _counter(rows: DataFrame) -> Counter:
+    got = rows.select("word", "n").toArrow()
+    return Counter(dict(zip(got.column("word").to_pylist(), got.column("n").to_pylist(), strict=True)))
+
+
+def rarity(docs: DataFrame, vocabulary: set[bytes]) -> Counter:
+    """How often each word of a vocabulary occurs in all documents."""
+    return _counter(_word_counts(docs, vocabulary)) if vocabulary else Counter()
 
 
-def slices(benchmark: DataFrame, limit: int = SLICE_BYTES) -> Iterator[list[tuple[str, str]]]:
-    """The items (id as text, text) in slices of about ``limit`` bytes, one at a time on the driver."""
+def rarity_by_slice(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
+    """(slice, word, n) of the words of every slice of the benchmark, from one pass over the documents."""
+
+    def run(batches):
+        for batch in batches:
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = list({w for block in word_blocks(t) for w in block})
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(words), pa.int64()), pa.array(words, pa.binary())], ["slice", "word"])
+
+    known = items.select("slice", "text").mapInArrow(run, "slice long, word binary").distinct()
+    return scratch.keep(known.join(_word_counts(docs), "word").select("slice", "word", "n"))
+
+
+def sliced(benchmark: DataFrame, limit: int = SLICE_BYTES) -> tuple[DataFrame, int]:
+    """The distinct items (name, text, slice), dealt to slices of about ``limit`` bytes of text, and the number of slices."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("name"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // limit))
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k)
-        yield [(r["name"], r["text"]) for r in part.distinct().collect()]
+    return items.distinct().withColumn("slice", F.pmod(F.xxhash64("name", "text"), F.lit(n)).cast("long")), n
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, extra: list[str] = (), width: int = WIDTH, limit: int = SLICE_BYTES) -> DataFrame:
     """(extra..., text, n_words, spans, items) of every document: hit spans in words, ids of items with occurring windows."""
-    spark = docs.sparkSession
-    scratch = None
+    scratch = Scratch(docs.sparkSession)
     base = docs.select(*extra, F.col("text").cast("string").alias("text"))
     now = base.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<long>"), "items": F.array().cast("array<string>")})
-    for k, part in enumerate(slices(benchmark, limit)):
-        vocabulary = {w for _, t in part for x in windows(t, width) for w in x}
-        index, names = build(part, rarity(docs, vocabulary) if vocabulary else Counter(), width)
+    items, n = sliced(benchmark, limit)
+    if n > 1:
+        items = scratch.keep(items)
+        counts = rarity_by_slice(docs, items, scratch)
+    for k in range(n):
+        part = [(r["name"], r["text"]) for r in items.where(F.col("slice") == k).collect()]
+        rare = _counter(counts.where(F.col("slice") == k)) if n > 1 else rarity(docs, {w for _, t in part for b in word_blocks(t) for w in b})
+        index, names = build(part, rare, width)
         if k:
-            scratch = scratch or Scratch(spark)
             now = scratch.keep(now)
         at = now.columns.index("text")
 
