@@ -70,3 +70,12 @@ def test_cost_rule(spark):
     df = spark.createDataFrame([(None,), (0.0,), (-1.0,), (7.0,)], "a double")
     got = [r[0] for r in df.select(network.street_cost(F.lit(9.0), F.col("a"))).collect()]
     assert got == [9.0, 9.0, pytest.approx(0.01), 7.0]
+
+
+def test_within_tolerance_broadcasts_no_points(spark):
+    at = [(k, float(k * 37 % 50), float(k * 11 % 40)) for k in range(120)] + [(500, None, 1.0), (501, 3.0, 4.0), (502, 3.0, 4.0), (503, -9.0, -9.0)]
+    got = network.within_tolerance(spark.createDataFrame(at, "id long, x double, y double"), 5.0)
+    sound = [p for p in at if p[1] is not None]
+    gap = lambda p, q: ((p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2) ** 0.5
+    assert sorted(map(tuple, got.collect())) == sorted((p[0], q[0], gap(p, q)) for p in sound for q in sound if p[0] < q[0] and gap(p, q) <= 5.0)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
