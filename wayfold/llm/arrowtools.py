@@ -12,17 +12,23 @@ from pyspark.sql.types import StructType
 from wayfold.session import prepare
 
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 
 def texts_per_batch(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Few rows to an Arrow batch: some texts are very long, and a worker holds a batch whole.
+    """Few rows and bytes to an Arrow batch: some texts are very long, and a worker and its executor hold a batch whole.
 
-    This lowers the session's setting for good: it is read when a plan runs, long after this call.
+    A batch ends with the row that fills ``BATCH_BYTES``. This lowers the session's settings for
+    good: they are read when a plan runs, long after this call.
     """
     prepare(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) <= 0 or int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def map_rows(df: DataFrame, columns: list, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType) -> DataFrame:

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from hashlib import sha256
 from zlib import crc32
 
 import numpy as np
@@ -153,18 +154,23 @@ def fit_rows(rows: Rows, names: list[str], toxic: np.ndarray, half: np.ndarray)
     return Ordinal({names[k]: float(w[k]) for k in np.flatnonzero(w)}, theta.tolist())
 
 
-def _features(known: DataFrame) -> DataFrame:
-    """(id, y, features): the distinct features of each row, rows of equal features and label once."""
+def _features(known: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, y, features): the distinct features of each row, rows of equal features and label once.
+
+    Rows are told apart by a digest of their features, so that only digests are dealt out.
+    """
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [sorted({x for w in words(t) for x in parts(w)}) for t in batch.column(2).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], ["id", "y", "features"])
+            digests = [sha256("\n".join(x).encode()).digest() for x in found]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.string()))], ["id", "y", "digest", "features"])
 
         return one
 
-    rows = map_rows(known, ["doc_id", "y", F.col("text").cast("string")], make, "id long, y int, features array<string>")
-    return rows.groupBy("y", "features").agg(F.min("id").alias("id"))
+    rows = scratch.keep(map_rows(known, ["doc_id", "y", F.col("text").cast("string")], make, "id long, y int, digest binary, features array<string>"))
+    first = scratch.keep(rows.groupBy("y", "digest").agg(F.min("id").alias("id")).select("id"))
+    return rows.join(F.broadcast(first), "id", "left_semi").select("id", "y", "features")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Ordinal:
@@ -174,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Ordina
     row has.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.keep(_features(sample(docs, labels, "toxic", ["text"], max_rows)))
+    rows = _features(sample(docs, labels, "toxic", ["text"], max_rows), scratch)
     totals = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("ill")).first()
     n, ill = totals["n"], totals["ill"]
     if not 0 < ill < n:
